@@ -291,8 +291,8 @@ def _round(step: int, span: int, buckets: int, block_chars: int) -> Callable:
                     else:
                         may = known(core)
                         low, high, told, open_ = low[may], high[may], _told(core[may]), ~known(stretch[may])
-                        if step == 3:
-                            found, where = told, block.doc(low)
+                        if step == 3:  # all as of one document, so that only open groups make a digest known
+                            found, where = told, np.zeros(len(low), np.int64)
                         else:
                             asks = open_ | known(told)
                             p = _ranges(low[asks], high[asks] + 1)
@@ -300,8 +300,8 @@ def _round(step: int, span: int, buckets: int, block_chars: int) -> Callable:
                 loud.append(open_ if step == 3 else np.zeros(len(found), bool))
                 digests.append(found)
                 docs.append(where + seen)
-                ids.append(block_ids)
-                seen += len(block_ids)
+                ids.append(block_ids if step != 3 else np.zeros(1, np.int64))
+                seen += len(ids[-1])
             if digests:
                 rows += _entries(pack, np.concatenate(digests), np.concatenate(docs), np.concatenate(ids), np.concatenate(loud), buckets)
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "pack": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())})
