@@ -37,10 +37,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The same rows read back from the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
+    """The same rows read back from the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    keep_partitioning: later plans see how the rows are partitioned and do not shuffle them again; adaptive plans hide that, so this one is planned without."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        if keep_partitioning:
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def ship(spark: SparkSession) -> None:
