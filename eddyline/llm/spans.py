@@ -199,7 +199,7 @@ def packs(documents: DataFrame, doc_id: Column, text: Column, span: int, pack_ch
             yield give()
 
     made = rows.mapInArrow(gather, "pack long, blob binary")
-    return cut_lineage(made.repartition(partitions, "pack"))
+    return cut_lineage(made.repartition(partitions, "pack"), keep_partitioning=True)
 
 
 def _entries(pack: int, digests: np.ndarray, docs: np.ndarray, ids: np.ndarray, loud: np.ndarray, buckets: int) -> Iterator[tuple]:
