@@ -39,9 +39,9 @@ def evaluate(
 
 
 def emissions(df: DataFrame) -> list[DataFrame]:
-    """The result per window_end in rising order, or as a whole if it has none; the number of windows is that of the range, not of the data."""
+    """The result per window_end in rising order, or as a whole if it has none; nothing for an empty result. The number of windows is that of the range, not of the data."""
     if "window_end" not in df.columns:
-        return [df]
+        return [] if df.isEmpty() else [df]
     ends = [r["window_end"] for r in df.select("window_end").distinct().orderBy("window_end").collect()]
     return [df.where(df["window_end"] == e) for e in ends]
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +64,7 @@ class Runner:
         if missing:
             raise ValueError(f"no sink for {', '.join(sorted(missing))}")
         self.start, self.end = _utc(self.start), _utc(self.end)
-        self.work_dir = self.work_dir or f"{checkpoint_dir(self.spark)}/runner-{id(self):x}"
+        self.work_dir = self.work_dir or f"{checkpoint_dir(self.spark)}/runner-{uuid.uuid4().hex}"
         for name, source in self.pipeline.sources.items():
             if source.ts_col and name not in self.notions:
                 self.notions[name] = EventTimeNotion(source.ts_col)
@@ -198,9 +199,10 @@ class Runner:
         else:
             result = self.pipeline.dataframe(self.spark, output, tables)
         p.records, p.fires = 0, p.fires + 1
+        result = result.persist()
         for part in emissions(result):
-            if not part.isEmpty():
-                self.sinks[output].write(part)
+            self.sinks[output].write(part)
+        result.unpersist()
 
     # -- retention
 
