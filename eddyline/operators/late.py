@@ -30,8 +30,8 @@ def watermarks(messages: DataFrame, lateness_us: int) -> DataFrame:
 
 
 def judged(messages: DataFrame, lateness_us: int = 6 * HOUR_US, period_us: int = HOUR_US) -> DataFrame:
-    """The messages with a time, with period_us (its start), watermark_us and late."""
-    rows = messages.where("us is not null").withColumn("period_us", floor_to(F.col("us"), period_us))
+    """The messages with a time, with period_us (its start), watermark_us and late; columns of these names are replaced."""
+    rows = messages.drop("period_us", "watermark_us", "late").where("us is not null").withColumn("period_us", floor_to(F.col("us"), period_us))
     marks = watermarks(messages, lateness_us)
     late = F.coalesce(F.col("period_us") + period_us <= F.col("watermark_us"), F.lit(False))
     return rows.join(marks, ["src", "batch_id"], "left").withColumn("late", late)

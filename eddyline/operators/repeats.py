@@ -123,7 +123,7 @@ def message_keys(df: DataFrame, src: str, record_id: Column) -> DataFrame:
 
 def first_copies(df: DataFrame, record_id: Column) -> DataFrame:
     """One row per non-null identifier, that of the smallest msg_offset, as a partial aggregate; rows with a null identifier cannot be told apart and all stay."""
-    named = df.withColumn("_rid", record_id)
-    row = F.struct(*[F.col(c) for c in df.columns])
-    kept = named.where("_rid is not null").groupBy("_rid").agg(F.min_by(row, F.struct(F.col("msg_offset").isNull(), F.col("msg_offset"))).alias("_row")).select("_row.*")
-    return kept.unionByName(named.where("_rid is null").drop("_rid"))
+    rows = df.select(record_id.alias("id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    order = F.struct(F.col("row.msg_offset").isNull(), F.col("row.msg_offset"))
+    kept = rows.where("id is not null").groupBy("id").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return kept.unionByName(rows.where("id is null").select("row.*"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 def daily(df: DataFrame, entity: Column, day: Column, amount: Column) -> DataFrame:
     """entity, day, n_rows, n_amounts, total."""
-    rows = df.select(entity.alias("entity"), day.alias("day"), F.when(~F.isnan(amount), amount).alias("amount")).where("entity is not null and day is not null")
+    rows = df.select(entity.alias("entity"), day.alias("day"), F.when(~F.isnan(amount.cast("double")), amount.cast("double")).alias("amount")).where("entity is not null and day is not null")
     return rows.groupBy("entity", "day").agg(F.count("*").alias("n_rows"), F.count("amount").alias("n_amounts"), F.sum("amount").alias("total"))
 
 

@@ -120,7 +120,7 @@ def p7_order_values(spark: SparkSession, d: str) -> DataFrame:
 _U, _ID = "nullif(lower(trim(user_id)), '')", "nullif(lower(trim({})), '')"
 _SESSIONS = f"""with e as (select {_U} as user_id, epoch_us(event_time) as us, id from activity_log where {_U} is not null and event_time is not null),
 g as (select *, case when us - lag(us) over w > {{gap}} or lag(us) over w is null then 1 else 0 end as new from e window w as (partition by user_id order by us)),
-s as (select *, sum(new) over (partition by user_id order by us rows unbounded preceding) as k from g)"""
+s as (select *, sum(new) over (partition by user_id order by us) as k from g)"""
 _SURPLUS = "select '{t}' as src_table, msg_offset from (select msg_offset, row_number() over (partition by nullif(lower(trim({c})), '') order by msg_offset) as rn from {t} where nullif(lower(trim({c})), '') is not null) where rn > 1"
 _ONCE = """o as (select * from (select *, row_number() over (partition by nullif(lower(trim(order_id)), '') order by msg_offset) as rn from order_messages) where rn = 1 or nullif(lower(trim(order_id)), '') is null)"""
 _ORPHANS = """with orders as (select distinct nullif(lower(trim(order_id)), '') as record_id, nullif(lower(trim(product_id)), '') as ref_id, order_time as "at" from order_messages),

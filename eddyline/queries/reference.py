@@ -320,4 +320,4 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["session_windows"] = session_windows
 ORACLES["session_windows"] = """with g as (select user_id, ts, case when ts - lag(ts) over w < interval 2 hour then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
-s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as session_start, count(*) as n from s group by user_id, k"""
+s as (select *, sum(new) over (partition by user_id order by ts) as k from g) select user_id, min(ts) as session_start, count(*) as n from s group by user_id, k"""
