@@ -17,12 +17,12 @@ BITS, LEVELS, SATURATED, ERROR_BOUND = 8192, 44, 0.7, 0.05
 
 def bitmaps(df: DataFrame, item: Column, *groups: Column) -> DataFrame:
     """The partial result: groups, level, word, bits."""
-    rows = df.select(*groups, F.xxhash64(item).alias("h")).where(item.isNotNull())
+    rows = df.where(item.isNotNull()).select(*groups, F.xxhash64(item).alias("h"))
     high = F.shiftrightunsigned("h", 20)  # 44 bits decide the level: their leading zeros
     level = F.when(high == 0, LEVELS - 1).otherwise(LEVELS - 1 - F.floor(F.log2(high.cast("double"))))
     place = F.col("h").bitwiseAND(F.lit(BITS - 1))
     names = [c for c in rows.columns if c != "h"]
-    marked = rows.select(*names, level.cast("int").alias("level"), (place / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    marked = rows.select(*names, level.cast("int").alias("level"), (place / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     return marked.groupBy(*names, "level", "word").agg(F.bit_or("bit").alias("bits"))
 
 

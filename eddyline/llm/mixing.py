@@ -44,7 +44,7 @@ def plan(sized: DataFrame, goals: DataFrame, total: float | None = None) -> Data
 def select(sized: DataFrame, planned: DataFrame, seed: int = 7) -> DataFrame:
     """sized: doc_id, source, n_tokens, weight. Returns doc_id, source, n_tokens, repeats (at least 1)."""
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
-    keyed = sized.withColumn("key", -F.log(u) / F.col("weight"))
+    keyed = sized.select("doc_id", "source", "n_tokens", "weight").withColumn("key", -F.log(u) / F.col("weight"))
     keyed = keyed.withColumn("cell", F.floor(F.least(F.lit(CELLS - 1), (1 - F.exp(-F.col("key"))) * CELLS)))
     cells = keyed.groupBy("source", "cell").agg(F.sum("n_tokens").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
