@@ -43,58 +43,61 @@ class _Rows:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.columns, kinds)], self.names)
 
 
-def enclosing(gaps: list[int]) -> tuple[list[int], list[int], list[bool]]:
-    """For each gap the index of the last larger one before it (-1), the first larger one after it (len), and whether it is the first among equals of its node."""
+def enclosing(gaps: list[int]) -> tuple[list[int], list[int], list[bool], list[bool]]:
+    """For each gap the index of the last larger one before it (-1), the first larger one after it (len), and whether it is the first and the last among equals of its node."""
     n = len(gaps)
-    before, after, first = [-1] * n, [n] * n, [True] * n
+    before, after, first, last = [-1] * n, [n] * n, [True] * n, [True] * n
     stack: list[int] = []
     for i, gap in enumerate(gaps):
         while stack and gaps[stack[-1]] < gap:
             after[stack.pop()] = i
         if stack and gaps[stack[-1]] == gap:
-            first[i], before[i] = False, before[stack[-1]]
+            first[i], last[stack[-1]], before[i] = False, False, before[stack[-1]]
         elif stack:
             before[i] = stack[-1]
         stack.append(i)
-    for i in stack:
-        after[i] = n
-    return before, after, first
+    return before, after, first, last
 
 
-def _tree(out: _Rows, entity: str, segments: list[tuple], last_step: bool) -> None:
-    """Adds the nodes of one run of segments (start, end, n, height, state); in step one also the contracted remains."""
+def _tree(out: _Rows, entity: str, segments: list[tuple], last_step: bool) -> list[tuple]:
+    """Adds the closed nodes of one run of segments (start, end, n, height, state) and returns what remains: nothing after the last step, else the run with every part contracted
+    that is bounded inside it. Of equal gaps that reach an end, the outermost on either side is kept, so evenly spaced events contract as well."""
     n = len(segments)
     starts, ends = [s[0] for s in segments], [s[1] for s in segments]
     counts = [0]
     for s in segments:
         counts.append(counts[-1] + s[2])
     gaps = [starts[i + 1] - ends[i] for i in range(n - 1)]
-    before, after, first = enclosing(gaps)
+    before, after, first, last = enclosing(gaps)
 
     def parent(low: int, high: int) -> int | None:
         around = [gaps[i] for i in (low, high) if 0 <= i < n - 1]
         return min(around) if around else None
 
-    for i, gap in enumerate(gaps):  # equal gaps share a node; those after an equal one may hold a wrong end, so only the first is used
+    for i, gap in enumerate(gaps):
         if first[i] and (last_step or (before[i] >= 0 and after[i] < n - 1)):
             out.add(entity, starts[before[i] + 1], ends[after[i]], counts[after[i] + 1] - counts[before[i] + 1], gap, parent(before[i], after[i]), _CLOSED)
     for j, (start, end, count, height, state) in enumerate(segments):
-        if last_step and state == _OPEN or not last_step and 0 < j < n - 1:
+        if state == _OPEN and (last_step or 0 < j < n - 1):
             out.add(entity, start, end, count, height, parent(j - 1, j), _CLOSED)
     if last_step:
-        return
-    kept = [i for i in range(n - 1) if before[i] < 0 or after[i] == n - 1]
-    edges = [-1, *kept, n - 1]
-    for a, b in zip(edges, edges[1:]):
-        inside = max(gaps[a + 1 : b], default=segments[b][3] if b == a + 1 else 0)
-        out.add(entity, starts[a + 1], ends[b], counts[b + 1] - counts[a + 1], inside, None, _OPEN if a < 0 or b == n - 1 else _INNER)
+        return []
+    kept = [i for i in range(n - 1) if before[i] < 0 and first[i] or after[i] == n - 1 and last[i]]
+    remains = []
+    for a, b in zip([-1, *kept], [*kept, n - 1]):
+        single = b == a + 1
+        inside = segments[b][3] if single else max(gaps[a + 1 : b])
+        state = segments[b][4] if single and (a < 0 or b == n - 1) else _INNER
+        remains.append((starts[a + 1], ends[b], counts[b + 1] - counts[a + 1], inside, state))
+    return remains
 
 
 class _Walk:
-    """Takes the rows of a partition sorted by entity, cell and start, batch by batch, and runs _tree over each group."""
+    """Takes the rows of a partition sorted by entity, cell and start, batch by batch, and runs _tree over each group; a long group is contracted as it grows, so memory is bounded."""
 
-    def __init__(self, last_step: bool) -> None:
-        self.last_step, self.out, self.key, self.segments = last_step, _Rows(), None, []
+    def __init__(self, last_step: bool, most: int = 200_000) -> None:
+        self.last_step, self.most, self.limit = last_step, most, most
+        self.out, self.key, self.segments = _Rows(), None, []
 
     def feed(self, batch: pa.RecordBatch) -> None:
         columns = [batch.column(name).to_pylist() for name in ("entity", "cell", "start_us", "end_us", "n_events", "height_us", "state")]
@@ -103,11 +106,15 @@ class _Walk:
                 self.close()
                 self.key = entity, cell
             self.segments.append(segment)
+            if len(self.segments) >= self.limit:
+                self.segments = _tree(self.out, entity, self.segments, last_step=False)
+                self.limit = max(self.most, 2 * len(self.segments))
 
     def close(self) -> None:
         if self.segments:
-            _tree(self.out, self.key[0], self.segments, self.last_step)
-        self.segments = []
+            for start, end, count, height, state in _tree(self.out, self.key[0], self.segments, self.last_step):
+                self.out.add(self.key[0], start, end, count, height, None, state)
+        self.segments, self.limit = [], self.most
 
     def drain(self, least: int = 1) -> Iterator[pa.RecordBatch]:
         if len(self.out.columns[0]) >= least:
@@ -136,7 +143,7 @@ def _step_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from walk.drain()
 
 
-def gap_tree(events: DataFrame, entity: Column, time_us: Column, cell_us: int = 6 * HOUR_US) -> DataFrame:
+def gap_tree(events: DataFrame, entity: Column, time_us: Column, cell_us: int = HOUR_US) -> DataFrame:
     """The tree as rows entity, start_us, end_us, n_events (distinct times), height_us, parent_us.
 
     cell_us: width of the time cells of step one; a cell of one entity is handled in one task, so narrower cells split a hot entity further."""
@@ -156,7 +163,7 @@ def cut(tree: DataFrame, threshold_us: int) -> DataFrame:
     return tree.where((F.col("height_us") <= threshold_us) & (F.col("parent_us").isNull() | (F.col("parent_us") > threshold_us)))
 
 
-def count_ids(events: DataFrame, sessions: DataFrame, entity: Column, time_us: Column, record_id: Column, cell_us: int = 6 * HOUR_US) -> DataFrame:
+def count_ids(events: DataFrame, sessions: DataFrame, entity: Column, time_us: Column, record_id: Column, cell_us: int = HOUR_US) -> DataFrame:
     """The sessions with n_ids, the number of distinct non-null ids; events meet sessions on entity and time cell, so a hot entity is spread over its cells."""
     points = events.select(entity.alias("entity"), time_us.alias("us"), record_id.alias("record_id")).where("entity is not null and us is not null").distinct()
     points = points.withColumn("cell", F.floor(floor_to(F.col("us"), cell_us) / cell_us))

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,9 +42,34 @@ def test_gap_tree_matches_sessions_for_any_threshold(spark, seed):
 
 
 def test_enclosing_gaps_with_ties():
-    before, after, first = gap_tree.enclosing([3, 5, 3, 3, 5, 1])
+    before, after, first, last = gap_tree.enclosing([3, 5, 3, 3, 5, 1])
     assert [(b, a) for b, a, f in zip(before, after, first) if f] == [(-1, 1), (-1, 6), (1, 4), (4, 6)]
-    assert first == [True, True, True, False, False, True]
+    assert first == [True, True, True, False, False, True] and last == [True, False, False, True, True, True]
+
+
+@pytest.mark.parametrize("seed,most", [(0, 4), (1, 7), (2, 50), (3, 4), (4, 3)])
+def test_long_groups_are_contracted(seed, most):
+    rng = random.Random(seed)
+    times = sorted(rng.sample(range(4000), 300)) if seed % 2 else sorted({k * 10 for k in range(200)} | {rng.randrange(2000) for _ in range(40)})
+
+    def walk(last_step, rows):
+        w = gap_tree._Walk(last_step, most)
+        names = ["entity", "cell", "start_us", "end_us", "n_events", "height_us", "state"]
+        w.feed(pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows]))
+        w.close()
+        return list(zip(*w.out.columns))
+
+    first = walk(False, [("a", t // 900, t, t, 1, 0, 1) for t in times])
+    rest = sorted((r for r in first if r[6] != 0), key=lambda r: r[1:3])
+    nodes = [r for r in first if r[6] == 0] + walk(True, [(r[0], 0, r[1], r[2], r[3], r[4], r[6]) for r in rest])
+    for gap in (0, 1, 3, 9, 10, 11, 30, 5000):
+        got = sorted((r[1], r[2]) for r in nodes if r[4] <= gap and (r[5] is None or r[5] > gap))
+        assert got == sessions(times, gap)
+
+
+def test_even_gaps_contract():
+    segments = [(10 * k, 10 * k, 1, 0, 1) for k in range(1000)]
+    assert len(gap_tree._tree(gap_tree._Rows(), "a", segments, last_step=False)) == 3
 
 
 def test_session_ids_count_once(spark):
