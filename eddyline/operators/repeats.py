@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddyline.functions.columns import DAY_US, floor_to
+from eddyline.session import cut_lineage
 
 _BITS_PER_ID, _PROBES = 16, 8
 _LAST = 2**63 - 1
@@ -102,11 +103,12 @@ def repeats(messages: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
         "src", "id", F.coalesce("msg_offset", F.lit(_LAST)).alias("msg_offset"), F.coalesce(floor_to(F.col("arrival_us"), bucket_us), F.lit(-_LAST)).alias("bucket")
     )
     stored = rows.groupBy("src", "id", "bucket").agg(F.min("msg_offset").alias("first_offset"), F.count("*").alias("n"))
+    stored = cut_lineage(stored, keep_partitioning=True)
     hashed = stored.select("src", "bucket", "id", F.xxhash64("id").alias("h"), "first_offset")
     shards = hashed.repartition("h").sortWithinPartitions("src", "bucket")
     possible = shards.mapInArrow(_screen, "src string, bucket long, id string, first_offset long, match_bucket long")
     match = stored.select("src", "id", F.col("bucket").alias("match_bucket"), F.col("first_offset").alias("match_offset"))
-    verified = possible.join(match, ["src", "id", "match_bucket"])
+    verified = match.join(possible, ["src", "id", "match_bucket"])
     keep = verified.groupBy("src", "id").agg(F.least(F.min("first_offset"), F.min("match_offset")).alias("all_first"))
     copied = stored.join(keep, ["src", "id"], "left").where("n > 1 or all_first is not null")
     copied = copied.select("src", "id", "bucket", F.coalesce("all_first", "first_offset").alias("keep_offset"))
