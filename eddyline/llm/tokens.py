@@ -41,4 +41,4 @@ def token_count(text: str | Column, path: str = DEFAULT_VOCABULARY) -> Column:
         for texts in series:
             yield pd.Series([None if t is None else length(coder, t) for t in texts], dtype="Int64")
 
-    return count(text)
+    return count.asNondeterministic()(text)  # else a filter on the count is pushed below it and the text measured twice
