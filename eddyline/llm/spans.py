@@ -84,38 +84,39 @@ class Block:
             value *= _powers(base, size)[0][:n]
             self.prefix.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)]))
         self.down = [_powers(base, size)[1] for base in _BASES]
-        self._cut(g, lengths)
+        self._cut(g)
 
     def digest(self, start: np.ndarray, end: np.ndarray, kind: int) -> np.ndarray:
         first, second = ((p[end] - p[start]) * d[start] for p, d in zip(self.prefix, self.down))
         return _mix(_mix(first + _U(kind)) ^ (second * _SEEDS[3]))
 
-    def _cut(self, g: np.ndarray, lengths: np.ndarray) -> None:
-        """least[x]: where the gear hash is least among the windows starting at x .. x + reach - 1 (the leftmost of equals); cuts: all such places."""
+    def _cut(self, g: np.ndarray) -> None:
+        """Runs of positions x with the same place of the least gear hash among those starting at x .. x + reach - 1 (the leftmost of equals); cuts: the places that lie in one document."""
         n, span = self.n, self.span
         self.reach = reach = (span - GEAR + 1) // 2
         h, width = g, 1
         while width < GEAR:  # h[p] covers the characters p .. p + width - 1, the last one unshifted
-            longer = h[width:].copy()
-            longer += h[: len(h) - width] << np.uint32(width)
+            longer = h[: len(h) - width] << np.uint32(width)
+            longer += h[width:]
             h, width = longer, 2 * width
-        key = (h.astype(np.uint64) << _U(32)) | np.arange(len(h), dtype=np.uint64)
+        key = h.astype(np.uint64)
+        key <<= _U(32)
+        key |= np.arange(len(h), dtype=np.uint64)
         width = 1
         while 2 * width <= reach:
             key = np.minimum(key[: len(key) - width], key[width:])
             width *= 2
         if width < reach and len(key):
             key = np.minimum(key[: len(key) - (reach - width)], key[reach - width :])
-        ends = np.repeat(self.offsets[1:], lengths)
-        room = ends - np.arange(n)
-        self.least = np.zeros(n, np.int64)
-        self.least[: len(key)] = (key & _U(0xFFFFFFFF)).astype(np.int64)
-        valid = room >= reach + GEAR - 1
-        marks = np.zeros(n + 1, bool)
-        marks[self.least[valid]] = True
-        self.cuts = np.flatnonzero(marks)
-        self.rank = np.cumsum(marks, dtype=np.int32) - 1
-        self.starts = np.flatnonzero(room >= span)  # of windows
+        least = key.astype(np.uint32)  # never falls from one position to the next
+        self.run_starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1]) if len(least) else np.zeros(0, np.int64)
+        self.run_least = least[self.run_starts].astype(np.int64)
+        # a run counts if one of its positions has its whole reach in the document: its first one, or the start of the next document
+        doc = self.doc(self.run_starts)
+        fits = self.offsets[doc + 1] - self.run_starts >= reach + GEAR - 1
+        run_ends = np.append(self.run_starts[1:], len(least)) if len(least) else self.run_starts
+        fits |= (self.offsets[doc + 1] < run_ends) & (self.offsets[np.minimum(doc + 2, len(self.offsets) - 1)] - self.offsets[doc + 1] >= reach + GEAR - 1)
+        self.cuts = self.run_least[fits]
         self.cut_doc = self.doc(self.cuts)
 
     def doc(self, position: np.ndarray) -> np.ndarray:
@@ -132,16 +133,18 @@ class Block:
         bad = np.ones(len(self.cuts) + 1, np.int32)
         bad[whole] = ~shared(digests)
         before = np.concatenate([[0], np.cumsum(bad)])
-        p = self.starts
-        first, last = self.rank[self.least[p]], self.rank[self.least[p + self.span - GEAR + 1 - self.reach]]
+        shift = self.span - GEAR + 1 - self.reach
+        begins, ends = self.offsets[:-1], self.offsets[1:] - self.span + 1  # of the windows of each document
+        edges = np.sort(np.concatenate([self.run_starts, self.run_starts - shift, begins, ends]), kind="stable")  # four sorted parts
+        edges = edges[(edges >= 0) & (edges < self.n) & np.append(edges[1:] != edges[:-1], True)]
+        low, high = edges, np.append(edges[1:], self.n) - 1
+        inside = low < ends[self.doc(low)]
+        low, high = low[inside], high[inside]
+        first, last = (self.run_least[np.searchsorted(self.run_starts, x, "right") - 1] for x in (low, low + shift))
+        first, last = np.searchsorted(self.cuts, first), np.searchsorted(self.cuts, last)
         good = before[last] == before[first]
-        p, first, last = p[good], first[good], last[good]
-        if not len(p):
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-        new = np.concatenate([[True], (np.diff(p) != 1) | (np.diff(first) != 0) | (np.diff(last) != 0)])
-        at = np.flatnonzero(new)
-        low, high = p[at], p[np.concatenate([at[1:], [len(p)]]) - 1]
-        core = self.digest(self.cuts[first[at]], self.cuts[last[at]] + GEAR, _CORE)
+        low, high, first, last = low[good], high[good], first[good], last[good]
+        core = self.digest(self.cuts[first], self.cuts[last] + GEAR, _CORE)
         return low, high, core, self.digest(low, high + self.span, _STRETCH)
 
 
