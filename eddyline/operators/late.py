@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eddyline.functions.columns import HOUR_US, floor_to
+from eddyline.session import cut_lineage
 
 _BLOCK = 1024
 
 
 def watermarks(messages: DataFrame, lateness_us: int) -> DataFrame:
     """messages: src, batch_id, us. Returns src, batch_id, watermark_us before that batch (null before the first)."""
-    batches = messages.groupBy("src", "batch_id").agg(F.max("us").alias("us")).withColumn("block", F.floor(F.col("batch_id") / _BLOCK))
+    batches = cut_lineage(messages.groupBy("src", "batch_id").agg(F.max("us").alias("us"))).withColumn("block", F.floor(F.col("batch_id") / _BLOCK))  # a row per batch
     before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     blocks = batches.groupBy("src", "block").agg(F.max("us").alias("block_us"))
     blocks = blocks.select("src", "block", F.max("block_us").over(before("src").orderBy("block")).alias("earlier_us"))
