@@ -49,6 +49,11 @@ def merge(state: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     return state.unionByName(delta).groupBy(*keys, "value").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
+def records(state: DataFrame, keys: list[str]) -> DataFrame:
+    """Per period the number of records."""
+    return state.groupBy(*keys).agg(F.sum("n").alias("n_records"))
+
+
 def derive(state: DataFrame, keys: list[str]) -> DataFrame:
     """Per period: n_records, n_values, n_distinct, smallest, largest and the exact (lower) median by cumulative counts."""
     present = state.where("value is not null")
@@ -63,6 +68,5 @@ def derive(state: DataFrame, keys: list[str]) -> DataFrame:
     inside = celled.join(holder, [*keys, "cell"])
     upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     medians = inside.withColumn("upto", F.col("below") + upto).where("upto >= rank and upto - n < rank").select(*keys, F.col("value").alias("median"))
-    records = state.groupBy(*keys).agg(F.sum("n").alias("n_records"))
-    whole = records.join(totals, keys, "left").join(medians, keys, "left")
+    whole = records(state, keys).join(totals, keys, "left").join(medians, keys, "left")
     return whole.fillna(0, ["n_values", "n_distinct"])

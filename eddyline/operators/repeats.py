@@ -32,6 +32,17 @@ class Bloom:
         self.mask, self.bits = np.uint64(size - 1), np.zeros(size, bool) if size < 4096 else np.zeros(size // 8, np.uint8)
         self.packed = size >= 4096
 
+    def dump(self) -> tuple[int, bytes]:
+        """Its size in bits and its contents."""
+        return int(self.mask) + 1, self.bits.tobytes()
+
+    @classmethod
+    def load(cls, size: int, bits: bytes) -> Bloom:
+        bloom = cls(1)
+        bloom.mask, bloom.packed = np.uint64(size - 1), size >= 4096
+        bloom.bits = np.frombuffer(bits, np.uint8 if bloom.packed else bool)
+        return bloom
+
     def _places(self, hashes: np.ndarray, i: int) -> np.ndarray:
         step = (hashes >> np.uint64(32)) | np.uint64(1)
         return (hashes + np.uint64(i) * step) & self.mask

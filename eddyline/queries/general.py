@@ -106,7 +106,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     kept = late.judged(_timed(spark, d), LATENESS_US).where("not late")
-    return kept.groupBy(F.col("src").alias("src_table"), F.col("period_us").alias("hour_us")).agg(F.count("*").alias("n"))
+    state = late.multiset(kept.select(F.col("src").alias("src_table"), F.col("period_us").alias("hour_us")), ["src_table", "hour_us"], F.lit(None).cast("double"))
+    return late.records(state, ["src_table", "hour_us"]).withColumnRenamed("n_records", "n")
 
 
 def p7_order_values(spark: SparkSession, d: str) -> DataFrame:
