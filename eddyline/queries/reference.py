@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eddyline.functions import tables
+from eddyline.operators import partitioning
 from eddyline.operators.hop import instant
 from eddyline.plans.pipeline import Pipeline
 from eddyline.session import cut_lineage
@@ -225,9 +226,31 @@ def watermark_min_of_sources(spark: SparkSession, d: str) -> DataFrame:
     return tables(spark, d, "events").groupBy("event_type").agg(F.max("ts").alias("ts")).agg(F.min("ts").alias("watermark"))
 
 
-QUERIES |= {f.__name__: f for f in (late_drop_replay, records_trigger_snapshots, expiration_retained, lookback_scan, watermark_min_of_sources)}
+def key_placement(spark: SparkSession, d: str) -> DataFrame:
+    """In how many partitions each user's events lie after a repartition by user, and whether that is the foreseen one."""
+    placed = partitioning.repartition(tables(spark, d, "events"), ["user_id"], 7).withColumn("at", F.spark_partition_id())
+    same = F.min((F.col("at") == partitioning.partition_id(["user_id"], 7)).cast("int")).alias("foreseen")
+    return placed.groupBy("user_id").agg(F.count_distinct("at").alias("n_partitions"), same, F.count("*").alias("n"))
+
+
+def broadcast_join(spark: SparkSession, d: str) -> DataFrame:
+    """A join whose small side is broadcast only because its size is known."""
+    small = partitioning.broadcast(tables(spark, d, "nation"))
+    return tables(spark, d, "customer").join(small, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
+
+
+def salted_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    """A hot key counted in two steps."""
+    first = partitioning.salted(tables(spark, d, "events"), ["event_type"], 4, F.col("event_id")).groupBy("event_type", "salt").agg(F.count("*").alias("n"), F.max("value").alias("largest"))
+    return first.groupBy("event_type").agg(F.sum("n").alias("n"), F.max("largest").alias("largest"))
+
+
+QUERIES |= {f.__name__: f for f in (key_placement, broadcast_join, salted_aggregate, late_drop_replay, records_trigger_snapshots, expiration_retained, lookback_scan, watermark_min_of_sources)}
 _DAYS = "date_diff('day', date '2024-01-01', ts::date)"
 ORACLES |= {
+    "key_placement": "select user_id, cast(1 as bigint) as n_partitions, 1::int as foreseen, count(*) as n from events group by user_id",
+    "broadcast_join": "select n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey group by n_name",
+    "salted_aggregate": "select event_type, count(*) as n, max(value) as largest from events group by event_type",
     "late_drop_replay": f"""with b as (select *, case when event_id % 4 = 0 or {_DAYS} < 10 then (case when {_DAYS} < 20 then 0 else 2 end) when {_DAYS} < 20 then 1 else 2 end as batch from events),
 m as (select k, date_trunc('day', max(ts)) as mark from b, range(0, 3) r(k) where batch <= k group by k),
 w as (select time_bucket(interval 1 day, ts) + interval 1 day as window_end, batch from b)

@@ -321,3 +321,37 @@ def test_validated_output(spark):
     bad = app.dataframe(spark, "o", {"events": frame(spark, Event, [{"id": None, "user_id": "a", "event_time": at("10:00")}])})
     with pytest.raises(Exception, match="null in column id"):
         bad.collect()
+
+
+def test_window_or_records(spark):
+    rows = [events((k, "a", t)) for k, t in enumerate(["10:01", "10:02", "10:06", "10:07", "10:08"], 1)]
+    sink, _, _ = run(spark, "SELECT COUNT(*) AS n FROM events", rows, at("10:00"), window=M(5), records=2)
+    assert [b[0]["n"] for b in sink.batches] == [1, 3, 5]
+
+
+def test_file_and_fan_out_sinks(spark, tmp_path, capsys):
+    from eddyline.sources.files import FileSink, FileSource
+    from eddyline.sources.kafka import ConsoleSink, FanOutSink
+
+    keep = FakeSink()
+    FanOutSink([FileSink(str(tmp_path / "o"), partition_by=("user_id",)), ConsoleSink(), keep]).write(frame(spark, Event, B1))
+    assert FileSource(str(tmp_path / "o"), schema=Event).read(spark).count() == 5 and len(keep.batches[0]) == 5
+    assert len(capsys.readouterr().out.splitlines()) == 5
+
+
+def test_missing_sink_or_source(spark):
+    app = Pipeline()
+    app.source("events", schema=Event, ts_col="event_time")
+    app.output("o", "SELECT * FROM events").trigger(records=1)
+    with pytest.raises(ValueError, match="no sink"):
+        Runtime(spark, app, {"events": FakeSource([])}, {}).execute()
+    with pytest.raises(ValueError, match="no source"):
+        Runtime(spark, app, {}, {})
+
+
+def test_broadcast_only_when_small(spark):
+    from eddyline.operators import partitioning
+
+    small = spark.range(10)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(partitioning.broadcast(small)) and "broadcast" not in plan(partitioning.broadcast(small, 10))
