@@ -353,5 +353,5 @@ def test_broadcast_only_when_small(spark):
     from eddyline.operators import partitioning
 
     small = spark.range(10)
-    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(partitioning.broadcast(small)) and "broadcast" not in plan(partitioning.broadcast(small, 10))
