@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zlib
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,9 @@ CODE_BITS, EXACT_BITS, ROWS, WIDTH = 26, 14, 5, 512
 SKETCHED = CODE_BITS - EXACT_BITS
 SIZE = (1 << EXACT_BITS) + SKETCHED * ROWS * WIDTH
 EPSILON = 0.01
-_HELD = 64  # sketches in memory before partial results are given out
+_LISTED = 4096  # codes that are listed before they become counters
+_TOGETHER = 128  # partitions whose partial results meet in a first step
+_HELD = 128  # groups in memory before partial results are given out
 
 
 def encode(values: np.ndarray) -> np.ndarray:
@@ -40,10 +43,13 @@ def decode(code: int) -> float:
     return float(np.array([bits], np.uint64).view(np.float64)[0])
 
 
-def _hashes(prefix: np.ndarray, level: int, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Column and sign of each prefix."""
-    x = prefix.astype(np.uint64) + np.uint64((level * ROWS + row + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)  # fixed values: the published splitmix64 multipliers
+_OFFSETS = np.arange(1, SKETCHED * ROWS + 1, dtype=np.uint64).reshape(SKETCHED, ROWS) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes(prefix: np.ndarray, level: int, row: int | slice) -> tuple[np.ndarray, np.ndarray]:
+    """Column and sign of each prefix in one row, or (as further axis) in several."""
+    x = prefix.astype(np.uint64) + _OFFSETS[level, row]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)  # fixed values: the published splitmix64 constants
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return (x & np.uint64(WIDTH - 1)).astype(np.int64), ((x >> np.uint64(32)) & np.uint64(1)).astype(np.int64) * 2 - 1
@@ -53,51 +59,84 @@ def _at(level: int, row: int) -> int:
     return (1 << EXACT_BITS) + (level * ROWS + row) * WIDTH
 
 
-def add(sketches: np.ndarray, slots: np.ndarray, codes: np.ndarray, weights: np.ndarray) -> None:
-    """Adds the codes to the flat sketches at their slots."""
-    base = slots * SIZE
-    np.add.at(sketches, base + (codes >> SKETCHED), weights)
+def add(sketch: np.ndarray, codes: np.ndarray, weights: np.ndarray) -> None:
+    """Adds the codes to the counters."""
+    np.add.at(sketch, codes >> SKETCHED, weights)
     for level in range(SKETCHED):
         prefix = codes >> (SKETCHED - 1 - level)
         for row in range(ROWS):
             column, sign = _hashes(prefix, level, row)
-            np.add.at(sketches, base + _at(level, row) + column, sign * weights)
-
+            np.add.at(sketch, _at(level, row) + column, sign * weights)
+
+
+class Summary:
+    """A sketch that starts as the list of its codes and weights, as long as that is the shorter form; it describes the same counters."""
+
+    def __init__(self) -> None:
+        self.codes: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
+        self.n, self.counters = 0, None
+
+    def add(self, codes: np.ndarray, weights: np.ndarray) -> None:
+        self.codes.append(codes)
+        self.weights.append(weights)
+        self.n += len(codes)
+        if self.counters is not None or self.n > _LISTED:
+            self.sketch()
+
+    def sketch(self) -> np.ndarray:
+        """The counters, with everything added."""
+        if self.counters is None:
+            self.counters = np.zeros(SIZE, np.int64)
+        if self.codes:
+            add(self.counters, np.concatenate(self.codes), np.concatenate(self.weights))
+        self.codes, self.weights, self.n = [], [], 0
+        return self.counters
+
+    def merge(self, blob: bytes) -> None:
+        data = zlib.decompress(blob[1:])
+        if blob[:1] == b"c":
+            self.sketch()
+            self.counters += np.frombuffer(data, "<i8")
+        else:
+            n = len(data) // 12
+            self.add(np.frombuffer(data, "<u4", n).astype(np.int64), np.frombuffer(data, "<i8", n, 4 * n))
 
-def pack(sketch: np.ndarray) -> bytes:
-    return zlib.compress(sketch.astype("<i8").tobytes(), 1)
+    def pack(self) -> bytes:
+        if self.counters is not None:
+            return b"c" + zlib.compress(self.sketch().astype("<i8").tobytes(), 1)
+        codes, weights = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.codes, self.weights))
+        return b"l" + zlib.compress(codes.astype("<u4").tobytes() + weights.astype("<i8").tobytes(), 1)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), "<i8")
+    whole = Summary()
+    whole.merge(blob)
+    return whole.sketch()
 
 
-def _count(sketch: np.ndarray, level: int, prefix: int) -> float:
-    found = []
-    for row in range(ROWS):
-        column, sign = _hashes(np.array([prefix]), level, row)
-        found.append(sketch[_at(level, row) + column[0]] * sign[0])
-    return float(np.median(found))
+def _counts(sketch: np.ndarray, level: int, prefixes: np.ndarray) -> np.ndarray:
+    """Estimated counts of the prefixes: the median over the rows."""
+    column, sign = _hashes(prefixes[:, None], level, slice(None))
+    return np.median(sketch[_at(level, 0) + np.arange(ROWS) * WIDTH + column] * sign, axis=1)
 
 
-def quantile(sketch: np.ndarray, q: float) -> float | None:
-    """The value of rank ceil(q n), by descent."""
+def quantiles(sketch: np.ndarray, probabilities: list[float]) -> list[float | None]:
+    """The values of ranks ceil(q n), by descent."""
     exact = np.cumsum(sketch[: 1 << EXACT_BITS])
     n = int(exact[-1])
     if n <= 0:
-        return None
-    rank = max(1, int(np.ceil(q * n)))
-    node = int(np.searchsorted(exact, rank))
-    left_of = int(exact[node - 1]) if node else 0
-    rank, held = rank - left_of, float(exact[node] - left_of)
+        return [None] * len(probabilities)
+    rank = np.maximum(1, np.ceil(np.array(probabilities) * n))
+    node = np.searchsorted(exact, rank)
+    below = np.where(node > 0, exact[np.maximum(node, 1) - 1], 0)
+    rank, held = rank - below, (exact[node] - below).astype(float)
     for level in range(SKETCHED):
-        left, right = _count(sketch, level, 2 * node), _count(sketch, level, 2 * node + 1)
-        left = min(max((left + held - right) / 2, 0.0), held)
-        if rank <= left + 0.5:
-            node, held = 2 * node, left
-        else:
-            node, rank, held = 2 * node + 1, rank - left, held - left
-    return decode(node)
+        left, right = _counts(sketch, level, 2 * node), _counts(sketch, level, 2 * node + 1)
+        left = np.clip((left + held - right) / 2, 0.0, held)
+        goes_left = rank <= left + 0.5
+        node, rank, held = 2 * node + ~goes_left, np.where(goes_left, rank, rank - left), np.where(goes_left, left, held - left)
+    return [decode(int(code)) for code in node]
 
 
 def sketches(df: DataFrame, value: Column, *groups: Column, weight: Column | None = None) -> DataFrame:
@@ -108,34 +147,33 @@ def sketches(df: DataFrame, value: Column, *groups: Column, weight: Column | Non
     rows = rows.where("_value is not null and not isnan(_value)")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots: dict[tuple, int] = {}
-        flat = np.zeros(_HELD * SIZE, np.int64)
-        salt = np.random.default_rng().integers(1 << 30)
+        held: dict[tuple, Summary] = {}
+        salt = TaskContext.get().partitionId() // _TOGETHER
+        types: list[pa.DataType] = []
 
         def give() -> pa.RecordBatch:
-            blobs = [pack(flat[i * SIZE : (i + 1) * SIZE]) for i in range(len(slots))]
-            columns = [pa.array([key[i] for key in slots], field_types[i]) for i in range(len(names))]
-            out = pa.RecordBatch.from_arrays([*columns, pa.array([int(salt % 64)] * len(slots), pa.int32()), pa.array(blobs, pa.binary())], [*names, "_salt", "sketch"])
-            flat[: len(slots) * SIZE] = 0
-            slots.clear()
+            columns = [pa.array([key[i] for key in held], types[i]) for i in range(len(names))]
+            blobs = pa.array([s.pack() for s in held.values()], pa.binary())
+            out = pa.RecordBatch.from_arrays([*columns, pa.array([salt] * len(held), pa.int32()), blobs], [*names, "_salt", "sketch"])
+            held.clear()
             return out
 
-        field_types: list[pa.DataType] = []
         for batch in batches:
-            field_types = [batch.schema.field(n).type for n in names]
-            frame = batch.select(names).to_pandas()
-            code, keys = frame.groupby(names, dropna=False, sort=False).ngroup().to_numpy(), None
-            firsts = np.unique(code, return_index=True)[1] if len(code) else []
-            keys = [tuple(batch.column(n)[int(i)].as_py() for n in names) for i in firsts]
-            codes, weights = encode(batch.column("_value").to_numpy()), batch.column("_weight").to_numpy()
-            for low in range(0, len(keys), _HELD):
-                some = keys[low : low + _HELD]
-                if len(set(slots) | set(some)) > _HELD:
-                    yield give()
-                at = np.array([slots.setdefault(key, len(slots)) for key in some])
-                own = (code >= low) & (code < low + len(some))
-                add(flat, at[code[own] - low], codes[own], weights[own])
-        if slots:
+            types = [batch.schema.field(n).type for n in names]
+            if not batch.num_rows:
+                continue
+            group = batch.select(names).to_pandas().groupby(names, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
+            codes, weights = encode(batch.column("_value").to_numpy())[order], batch.column("_weight").to_numpy()[order]
+            for low, high in zip(starts, np.append(starts[1:], len(order))):
+                key = tuple(batch.column(n)[int(order[low])].as_py() for n in names)
+                if key not in held:
+                    if len(held) >= _HELD:
+                        yield give()
+                    held[key] = Summary()
+                held[key].add(codes[low:high], weights[low:high])
+        if held:
             yield give()
 
     columns = ", ".join(f"`{n}` {k}" for n, k in zip(names, kind))
@@ -145,13 +183,14 @@ def sketches(df: DataFrame, value: Column, *groups: Column, weight: Column | Non
 
 def _merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     def total(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        whole = np.zeros(SIZE, np.int64)
+        whole = Summary()
         for blob in frame["sketch"]:
-            whole += unpack(blob)
-        return pd.DataFrame([[*frame.iloc[0][keys], pack(whole)]], columns=[*keys, "sketch"])
+            whole.merge(blob)
+        return pd.DataFrame([[*frame.iloc[0][keys], whole.pack()]], columns=[*keys, "sketch"])
 
     types = dict(parts.dtypes)
-    return parts.groupBy(*keys).applyInPandas(total, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", sketch binary")
+    spread = parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)  # small rows, much work: not to be coalesced
+    return spread.groupBy(*keys).applyInPandas(total, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", sketch binary")
 
 
 def merge(partial: DataFrame, *groups: str) -> DataFrame:
@@ -169,7 +208,7 @@ def percentiles(sketched: DataFrame, probabilities: dict[str, float]) -> DataFra
             rows: list[list[Any]] = []
             for blob in frame["sketch"]:
                 sketch = unpack(blob)
-                rows.append([int(sketch[: 1 << EXACT_BITS].sum()), *(quantile(sketch, q) for q in probabilities.values()), EPSILON])
+                rows.append([int(sketch[: 1 << EXACT_BITS].sum()), *quantiles(sketch, list(probabilities.values())), EPSILON])
             found = pd.DataFrame(rows, columns=["n", *probabilities, "epsilon"], index=frame.index)
             yield pd.concat([frame[names], found], axis=1)
 

@@ -29,9 +29,10 @@ def test_rank_error_is_bounded(kind):
     rng = np.random.default_rng(1)
     values = {"lognormal": rng.lognormal(3, 2, 60_000), "ties": rng.choice([9.99, 10.0, 49.5, 1e6], 60_000), "uniform": rng.uniform(0, 1, 60_000), "signed": rng.normal(0, 50, 60_000)}[kind]
     sketch = np.zeros(quantiles.SIZE, np.int64)
-    quantiles.add(sketch, np.zeros(len(values), np.int64), quantiles.encode(values), np.ones(len(values), np.int64))
-    for q in (0.01, 0.25, 0.5, 0.9, 0.95, 0.99, 1.0):
-        assert rank_error(values, quantiles.quantile(sketch, q), q) <= quantiles.EPSILON * len(values) + 1
+    quantiles.add(sketch, quantiles.encode(values), np.ones(len(values), np.int64))
+    asked = [0.01, 0.25, 0.5, 0.9, 0.95, 0.99, 1.0]
+    for q, found in zip(asked, quantiles.quantiles(sketch, asked)):
+        assert rank_error(values, found, q) <= quantiles.EPSILON * len(values) + 1
 
 
 def test_groups_merge_and_deletions(spark):
@@ -69,3 +70,20 @@ def test_combinations_with_nulls(spark):
     assert got[None, None, True, True] == 3 and got["d1", None, False, False] == 1 and got["d1", None, False, True] == 1
     assert got[None, "r1", True, False] == 3 and got[None, "r1", False, False] == 1 and len(got) == 10
     assert distinct.estimate(distinct.bitmaps(df.limit(0), F.col("who"), F.col("day")), "day").count() == 0
+
+
+def test_listed_and_counted_forms_are_the_same():
+    rng = np.random.default_rng(3)
+    codes, weights = quantiles.encode(rng.lognormal(3, 2, 9000)), rng.choice([1, -1], 9000)
+    whole = np.zeros(quantiles.SIZE, np.int64)
+    quantiles.add(whole, codes, weights)
+    parts = []
+    for low, high in ((0, 10), (10, 3000), (3000, 9000), (9000, 9000)):
+        part = quantiles.Summary()
+        part.add(codes[low:high], weights[low:high])
+        parts.append(part.pack())
+    assert [p[:1] for p in parts] == [b"l", b"l", b"c", b"l"]
+    merged = quantiles.Summary()
+    for p in parts:
+        merged.merge(p)
+    assert (quantiles.unpack(merged.pack()) == whole).all() and (merged.sketch() == whole).all()
