@@ -1,4 +1,4 @@
-"""Queries of the problems 3, 6, 8, 9 and 10, over whole tables; of these, SQL can express problem 6."""
+"""Queries of the problems 3, 6, 8, 9 and 10, over whole tables; of these, SQL can express problems 6 and 10."""
 
 from __future__ import annotations
 
@@ -81,7 +81,18 @@ def p10_shared_part(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p3_percentiles, p6_distinct_users, p8_containers, p9_mix, p9_shares, p10_found, p10_shared_part)}
 _P6_HASHED = """select strftime(order_time at time zone 'UTC', '%Y-%m-%d') as order_day, nullif(lower(trim(region)), '') as region, ('0x' || substr(md5(nullif(lower(trim(user_id)), '')), 1, 15))::bigint as h
 from order_messages where order_time is not null and nullif(lower(trim(user_id)), '') is not null"""
+_P10_RUNS = """with t as (select doc_id, text from documents where doc_id is not null and length(text) >= 250),
+g as (select doc_id, p, hash(substr(text, p + 1, 250)) as h from (select doc_id, text, unnest(range(0, length(text) - 249)) as p from t)),
+x as (select distinct doc_id, p from g semi join (select h from g group by h having min(doc_id) <> max(doc_id)) using (h)),
+r as (select *, case when p <= lag(p) over (partition by doc_id order by p) + 250 then 0 else 1 end as new from x),
+k as (select *, sum(new) over (partition by doc_id order by p) as k from r),
+runs as (select doc_id, min(p) as start_pos, max(p) + 250 as end_pos from k group by doc_id, k)"""
 ORACLES = {
+    # all windows of 250 characters
+    "p10_found": f"{_P10_RUNS} select doc_id, start_pos, end_pos from runs",
+    "p10_shared_part": f"""{_P10_RUNS}, c as (select doc_id, count(*) as n_spans, cast(sum(end_pos - start_pos) as bigint) as shared_chars from runs group by 1)
+select d.doc_id, length(text) as n_chars, coalesce(n_spans, 0) as n_spans, coalesce(shared_chars, 0) as shared_chars, coalesce(shared_chars, 0) / length(text) as shared_part
+from documents d left join c on d.doc_id = c.doc_id where length(text) > 0""",
     # the same estimate from the distinct places of each level
     "p6_distinct_users": f"""with p as (select *, case when h >> 16 = 0 then {distinct.LEVELS - 1} else {distinct.LEVELS} - length(bin(h >> 16)) end as level, h & {distinct.BITS - 1} as place from ({_P6_HASHED})),
 z as (select order_day, region, grouping(order_day) = 1 as order_day_total, grouping(region) = 1 as region_total, level, count(distinct place) as z from p
