@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -58,6 +59,7 @@ def ship(spark: SparkSession) -> None:
     if not getattr(context, "_eddyline_shipped", False):
         package = Path(__file__).resolve().parent
         folder = tempfile.mkdtemp(prefix="eddyline-package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # it is served from here as long as the application runs
         shutil.copytree(package, f"{folder}/tree/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
         context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", f"{folder}/tree"))
         context._eddyline_shipped = True

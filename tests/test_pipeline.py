@@ -355,3 +355,34 @@ def test_broadcast_only_when_small(spark):
     small = spark.range(10)
     plan = lambda df: df._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(partitioning.broadcast(small)) and "broadcast" not in plan(partitioning.broadcast(small, 10))
+
+
+@pytest.mark.parametrize("mode", ["native", "runner"])
+def test_window_join_on_streams(spark, tmp_path, mode):
+    from eddyline.sources.files import FileSource
+    from eddyline.streaming import native
+    from eddyline.streaming.runner import Runner
+
+    app, data = shop()
+    streams = {}
+    for name, schema in (("orders", Order), ("products", Product)):
+        for k, row in enumerate(data[name]):
+            frame(spark, schema, [row]).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        streams[name] = FileSource(str(tmp_path / name), schema=schema).read_stream(spark, 1)
+    sink = FakeSink()
+    if mode == "native":
+        native.start(spark, app, "revenue", streams, sink, str(tmp_path / "c")).awaitTermination()
+    else:
+        Runner(spark, app, {"revenue": sink}, start=at("10:00"), end=at("10:02")).attach(streams, str(tmp_path / "c")).awaitTermination()
+    assert totals(sink.to_dicts()) == {"electronics": (700.0, 3), "clothing": (50.0, 1)}
+
+
+def test_native_refuses_what_needs_the_runner():
+    from eddyline.streaming import native
+
+    app = Pipeline()
+    app.source("events", schema=Event, ts_col="event_time")
+    app.output("a", "SELECT * FROM events").trigger(records=1)
+    app.output("b", f"{COUNT} ORDER BY window_end").trigger(window=M(10))
+    app.output("c", COUNT).trigger(window=M(10))
+    assert "record trigger" in native.unsupported(app, "a") and "sorts" in native.unsupported(app, "b") and native.unsupported(app, "c") is None
