@@ -1,8 +1,9 @@
 """Percentiles per group by dyadic Count-sketches.
 
-A double is encoded as its leading 26 bits in an order-preserving form (sign, exponent, 14 bits of mantissa: a relative value error of at most 2^-15). The upper 14 bits are counted
-exactly; each of the 12 finer binary resolutions has a signed Count-sketch of 5 x 512 counters. Sketches merge by addition and take deletions as negative weights. A rank is inverted by
-finding its cell in the exact counts and descending the levels from there. The rank error is at most EPSILON x n + 1 with high probability.
+A double is encoded by all its 64 bits in an order-preserving form, so different values keep different codes and a code decodes to its value. The upper 14 bits are counted
+exactly; each of the 50 finer binary resolutions has a signed Count-sketch of 5 x 512 counters. Sketches merge by addition and take deletions as negative weights. A rank is inverted by
+finding its cell in the exact counts and descending the levels from there. The rank error is at most EPSILON x n + 1 with high probability, with ties too; up to 4,096 different values
+are listed with their counts and give exact answers.
 
 Null and NaN values are left out, infinite ones count as the largest. Null group values are a group of their own. An empty table has no groups.
 """
@@ -20,27 +21,30 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CODE_BITS, EXACT_BITS, ROWS, WIDTH = 26, 14, 5, 512
+CODE_BITS, EXACT_BITS, ROWS, WIDTH = 64, 14, 5, 512
 SKETCHED = CODE_BITS - EXACT_BITS
 SIZE = (1 << EXACT_BITS) + SKETCHED * ROWS * WIDTH
 EPSILON = 0.01
-_LISTED = 4096  # codes that are listed before they become counters
+_LISTED = 4096  # different codes that are listed before they become counters
+_BUFFERED = 16_384  # codes that wait to be counted together
 _TOGETHER = 128  # partitions whose partial results meet in a first step
 _HELD = 128  # groups in memory before partial results are given out
 
 
+_INFINITY = 0x7FF0 << 48
+_LOWEST = -(1 << (EXACT_BITS - 1))  # the least prefix that is counted exactly
+
+
 def encode(values: np.ndarray) -> np.ndarray:
     """Order-preserving codes."""
-    bits = (values.astype(np.float64) + 0.0).view(np.uint64)
-    ordered = np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
-    return (ordered >> np.uint64(64 - CODE_BITS)).astype(np.int64)
+    bits = (values.astype(np.float64) + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
 
 
 def decode(code: int) -> float:
-    """The middle of the values with that code."""
-    low = (code << (64 - CODE_BITS)) | (1 << (63 - CODE_BITS))
-    bits = low & ~(1 << 63) if low >> 63 else ~low & ((1 << 64) - 1)
-    return float(np.array([bits], np.uint64).view(np.float64)[0])
+    """The value with that code; codes past the infinite ones belong to them."""
+    code = min(max(code, ~_INFINITY), _INFINITY)
+    return float(np.array([code if code >= 0 else code ^ ((1 << 63) - 1)], np.int64).view(np.float64)[0])
 
 
 _OFFSETS = np.arange(1, SKETCHED * ROWS + 1, dtype=np.uint64).reshape(SKETCHED, ROWS) * np.uint64(0x9E3779B97F4A7C15)
@@ -59,18 +63,28 @@ def _at(level: int, row: int) -> int:
     return (1 << EXACT_BITS) + (level * ROWS + row) * WIDTH
 
 
+def _net(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, in rising order, with its total weight."""
+    if not len(codes):
+        return codes, weights
+    order = np.argsort(codes, kind="stable")
+    codes, weights = codes[order], weights[order]
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    return codes[starts], np.add.reduceat(weights, starts)
+
+
 def add(sketch: np.ndarray, codes: np.ndarray, weights: np.ndarray) -> None:
     """Adds the codes to the counters."""
-    np.add.at(sketch, codes >> SKETCHED, weights)
-    for level in range(SKETCHED):
-        prefix = codes >> (SKETCHED - 1 - level)
-        for row in range(ROWS):
-            column, sign = _hashes(prefix, level, row)
-            np.add.at(sketch, _at(level, row) + column, sign * weights)
+    codes, weights = _net(codes, weights)
+    for level in reversed(range(SKETCHED)):
+        column, sign = _hashes(codes[:, None], level, slice(None))
+        np.add.at(sketch, _at(level, 0) + np.arange(ROWS) * WIDTH + column, sign * weights[:, None])
+        codes, weights = _net(codes >> 1, weights)
+    np.add.at(sketch, codes - _LOWEST, weights)
 
 
 class Summary:
-    """A sketch that starts as the list of its codes and weights, as long as that is the shorter form; it describes the same counters."""
+    """A sketch that starts as the list of its codes and weights, as long as few codes differ; it describes the same counters."""
 
     def __init__(self) -> None:
         self.codes: list[np.ndarray] = []
@@ -81,7 +95,20 @@ class Summary:
         self.codes.append(codes)
         self.weights.append(weights)
         self.n += len(codes)
-        if self.counters is not None or self.n > _LISTED:
+        if self.n > _BUFFERED:
+            self.settle()
+
+    def listed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The codes that are not in the counters, each once in rising order, and their weights."""
+        codes, weights = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.codes, self.weights))
+        codes, weights = _net(codes, weights)
+        codes, weights = codes[weights != 0], weights[weights != 0]
+        self.codes, self.weights, self.n = [codes], [weights], len(codes)
+        return codes, weights
+
+    def settle(self) -> None:
+        """Chooses the form: counters once there are too many codes to list."""
+        if self.counters is not None or len(self.listed()[0]) > _LISTED:
             self.sketch()
 
     def sketch(self) -> np.ndarray:
@@ -89,24 +116,39 @@ class Summary:
         if self.counters is None:
             self.counters = np.zeros(SIZE, np.int64)
         if self.codes:
-            add(self.counters, np.concatenate(self.codes), np.concatenate(self.weights))
+            add(self.counters, *self.listed())
         self.codes, self.weights, self.n = [], [], 0
         return self.counters
 
     def merge(self, blob: bytes) -> None:
         data = zlib.decompress(blob[1:])
         if blob[:1] == b"c":
-            self.sketch()
+            if self.counters is None:
+                self.counters = np.zeros(SIZE, np.int64)
             self.counters += np.frombuffer(data, "<i8")
         else:
-            n = len(data) // 12
-            self.add(np.frombuffer(data, "<u4", n).astype(np.int64), np.frombuffer(data, "<i8", n, 4 * n))
+            n = len(data) // 16
+            self.add(np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i8", n, 8 * n))
 
     def pack(self) -> bytes:
+        self.settle()
         if self.counters is not None:
             return b"c" + zlib.compress(self.sketch().astype("<i8").tobytes(), 1)
-        codes, weights = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.codes, self.weights))
-        return b"l" + zlib.compress(codes.astype("<u4").tobytes() + weights.astype("<i8").tobytes(), 1)
+        codes, weights = self.listed()
+        return b"l" + zlib.compress(codes.astype("<i8").tobytes() + weights.astype("<i8").tobytes(), 1)
+
+    def answer(self, probabilities: list[float]) -> tuple[int, list[float | None]]:
+        """n and the values of ranks ceil(q n), exact while the codes are listed."""
+        self.settle()
+        if self.counters is not None:
+            sketch = self.sketch()
+            return int(sketch[: 1 << EXACT_BITS].sum()), quantiles(sketch, probabilities)
+        codes, weights = self.listed()
+        counts = np.cumsum(weights)
+        n = int(counts[-1]) if len(counts) else 0
+        if n <= 0:
+            return n, [None] * len(probabilities)
+        return n, [decode(int(c)) for c in codes[np.searchsorted(counts, _ranks(probabilities, n))]]
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -115,6 +157,10 @@ def unpack(blob: bytes) -> np.ndarray:
     return whole.sketch()
 
 
+def _ranks(probabilities: list[float], n: int) -> np.ndarray:
+    return np.maximum(1, np.ceil(np.array(probabilities) * n))
+
+
 def _counts(sketch: np.ndarray, level: int, prefixes: np.ndarray) -> np.ndarray:
     """Estimated counts of the prefixes: the median over the rows."""
     column, sign = _hashes(prefixes[:, None], level, slice(None))
@@ -127,10 +173,10 @@ def quantiles(sketch: np.ndarray, probabilities: list[float]) -> list[float | No
     n = int(exact[-1])
     if n <= 0:
         return [None] * len(probabilities)
-    rank = np.maximum(1, np.ceil(np.array(probabilities) * n))
+    rank = _ranks(probabilities, n)
     node = np.searchsorted(exact, rank)
     below = np.where(node > 0, exact[np.maximum(node, 1) - 1], 0)
-    rank, held = rank - below, (exact[node] - below).astype(float)
+    rank, held, node = rank - below, (exact[node] - below).astype(float), node + _LOWEST
     for level in range(SKETCHED):
         left, right = _counts(sketch, level, 2 * node), _counts(sketch, level, 2 * node + 1)
         left = np.clip((left + held - right) / 2, 0.0, held)
@@ -207,8 +253,10 @@ def percentiles(sketched: DataFrame, probabilities: dict[str, float]) -> DataFra
         for frame in frames:
             rows: list[list[Any]] = []
             for blob in frame["sketch"]:
-                sketch = unpack(blob)
-                rows.append([int(sketch[: 1 << EXACT_BITS].sum()), *quantiles(sketch, list(probabilities.values())), EPSILON])
+                whole = Summary()
+                whole.merge(blob)
+                n, values = whole.answer(list(probabilities.values()))
+                rows.append([n, *values, EPSILON])
             found = pd.DataFrame(rows, columns=["n", *probabilities, "epsilon"], index=frame.index)
             yield pd.concat([frame[names], found], axis=1)
 

@@ -87,3 +87,43 @@ def test_listed_and_counted_forms_are_the_same():
     for p in parts:
         merged.merge(p)
     assert (quantiles.unpack(merged.pack()) == whole).all() and (merged.sketch() == whole).all()
+
+
+def tie_rank_error(values, estimate, q):
+    """Without slack in the value."""
+    values = np.sort(values)
+    k = max(1, np.ceil(q * len(values)))
+    return max(0, np.searchsorted(values, estimate, "left") + 1 - k, k - np.searchsorted(values, estimate, "right"))
+
+
+def test_codes_decode_to_their_values():
+    for v in (-np.inf, -99.0, -1e-300, 0.0, 5e-324, 0.1, 99.0, 99.00195, 1e300, np.inf):
+        assert quantiles.decode(int(quantiles.encode(np.array([v]))[0])) == v
+
+
+@pytest.mark.parametrize("kind", ["cents", "few", "many", "price points", "narrow"])
+def test_rank_error_is_bounded_on_ties(kind):
+    rng, n = np.random.default_rng(4), 60_000
+    values = {
+        "cents": np.round(rng.lognormal(3, 2, n), 2),
+        "few": rng.choice(np.round(rng.uniform(1, 500, 300), 2), n),
+        "many": rng.choice(np.round(rng.lognormal(3, 1, 5000), 2), n),
+        "price points": np.where(rng.random(n) < 0.6, np.floor(rng.uniform(1, 200, n)) - 0.01, rng.lognormal(4, 1, n)),
+        "narrow": 100 + rng.integers(0, 3000, n) / 1e10,
+    }[kind]
+    sketch = np.zeros(quantiles.SIZE, np.int64)
+    quantiles.add(sketch, quantiles.encode(values), np.ones(n, np.int64))
+    asked = [0.01, 0.25, 0.5, 0.9, 0.95, 0.99, 1.0]
+    for q, found in zip(asked, quantiles.quantiles(sketch, asked)):
+        assert tie_rank_error(values, found, q) <= quantiles.EPSILON * n + 1
+
+
+def test_tied_amounts_of_a_group(spark):
+    rng = random.Random(5)
+    rows = [("few", rng.choice([19.99, 49.5, 99.0])) for _ in range(20_000)] + [("many", rng.choice([99.0, round(rng.uniform(1, 200), 2)])) for _ in range(20_000)]
+    sketched = quantiles.sketches(spark.createDataFrame(rows, "g string, v double").repartition(3), F.col("v"), F.col("g"))
+    for r in quantiles.percentiles(sketched, {"p50": 0.5, "p90": 0.9}).collect():
+        own = np.array([v for g, v in rows if g == r["g"]])
+        for q, c in ((0.5, "p50"), (0.9, "p90")):
+            error = tie_rank_error(own, r[c], q)
+            assert r["n"] == len(own) and error <= (0 if r["g"] == "few" else quantiles.EPSILON * len(own) + 1)
