@@ -9,10 +9,13 @@ Nulls: a null record or reference is no case. Copies of a record count once. Emp
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eddyline.session import cut_lineage
+
 
 @dataclass(frozen=True)
 class Edge:
@@ -49,28 +52,48 @@ def missing_then(refs: DataFrame, alive: DataFrame) -> DataFrame:
     return r.join(a, (F.col("r.ref_id") == F.col("a.ref_id")) & (F.col("r.at") >= F.col("a.born")) & (F.col("a.died").isNull() | (F.col("r.at") < F.col("a.died"))), "left_anti")
 
 
+def _cyclic(edges: set[tuple[str, str]]) -> bool:
+    """Whether the tables refer to each other in a circle, or one to itself."""
+    while edges:
+        left = {e for e in edges if e[1] in {child for child, _ in edges}}
+        if left == edges:
+            return True
+        edges = left
+    return False
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).distinct()
+
+
 def cascade(edges: list[Edge]) -> DataFrame:
-    """All orphans: src_table, record_id, ref_id, at, kind ('direct' or 'inherited'), depth.
+    """All orphans: src_table, parent, record_id, ref_id, at, kind ('direct' or 'inherited'), depth; a table may have several foreign keys, and refer to itself.
 
     Each round joins the referring tables with the parents newly found orphaned; it ends when a round can reach no table any more, which for a graph without cycles of
-    tables is after its longest path. A record that is both direct and inherited is direct."""
-    found = {e.child: e.orphans.withColumns({"kind": F.lit("direct"), "depth": F.lit(0)}) for e in edges}
-    fresh = dict(found)
-    for depth in range(1, len(edges) + 1):
-        reached: dict[str, DataFrame] = {}
-        for e in edges:
-            if e.parent in fresh:
-                bad = fresh[e.parent].select(F.col("record_id").alias("ref_id")).distinct()
-                heirs = e.references.join(bad, "ref_id", "left_semi")
-                known = found[e.child].select("record_id", "ref_id")
-                reached[e.child] = heirs.join(known, ["record_id", "ref_id"], "left_anti").withColumns({"kind": F.lit("inherited"), "depth": F.lit(depth)})
-        for child, rows in reached.items():
-            found[child] = found[child].unionByName(rows)
+    tables is after its longest path. With a cycle each round is checkpointed, and the last is the one that adds no row. A reference that is both direct and inherited is direct."""
+    keys = list(dict.fromkeys((e.child, e.parent) for e in edges))
+    refs = {k: _together([e.references for e in edges if (e.child, e.parent) == k]) for k in keys}
+    found = {k: _together([e.orphans for e in edges if (e.child, e.parent) == k]).withColumns({"kind": F.lit("direct"), "depth": F.lit(0)}) for k in keys}
+    cyclic = _cyclic(set(keys))
+    if cyclic:
+        refs, found = ({k: cut_lineage(df) for k, df in dfs.items()} for dfs in (refs, found))
+    fresh, depth = dict(found), 0
+    while fresh:
+        depth += 1
+        reached: dict[tuple[str, str], DataFrame] = {}
+        for k in keys:
+            new = [rows.select(F.col("record_id").alias("ref_id")) for (child, _), rows in fresh.items() if child == k[1]]
+            if new:
+                heirs = refs[k].join(reduce(DataFrame.unionByName, new).distinct(), "ref_id", "left_semi")
+                known = found[k].select("record_id", "ref_id")
+                rows = heirs.join(known, ["record_id", "ref_id"], "left_anti").withColumns({"kind": F.lit("inherited"), "depth": F.lit(depth)})
+                if cyclic:
+                    rows = cut_lineage(rows)
+                    if rows.isEmpty():
+                        continue
+                reached[k] = rows
+        for k, rows in reached.items():
+            found[k] = found[k].unionByName(rows)
         fresh = reached
-        if not fresh:
-            break
-    parts = [rows.select(F.lit(child).alias("src_table"), "record_id", "ref_id", "at", "kind", "depth") for child, rows in found.items()]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    parts = [rows.select(F.lit(child).alias("src_table"), F.lit(parent).alias("parent"), "record_id", "ref_id", "at", "kind", "depth") for (child, parent), rows in found.items()]
+    return reduce(DataFrame.unionByName, parts)

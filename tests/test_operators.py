@@ -163,6 +163,41 @@ def test_orphans(spark):
     assert got == [("deliveries", "d2", "o9", "direct", 0), ("deliveries", "d3", "o3", "inherited", 1), ("orders", "o2", "p1", "direct", 0), ("orders", "o3", "p2", "direct", 0), ("orders", "o7", "p2", "direct", 0)]
 
 
+def _edge(spark, child, parent, rows, lost):
+    refs, bad = (spark.createDataFrame([(*r, None) for r in x], "record_id string, ref_id string, at timestamp") for x in (rows, lost))
+    return orphans.Edge(child, parent, refs, bad)
+
+
+def _orphans(edges):
+    return sorted((r["src_table"], r["parent"], r["record_id"], r["ref_id"], r["kind"], r["depth"]) for r in orphans.cascade(edges).collect())
+
+
+def test_orphans_of_a_table_with_two_foreign_keys(spark):
+    lines = [_edge(spark, "lines", "orders", [("l1", "1"), ("l2", "9"), ("l3", "2")], [("l2", "9")]), _edge(spark, "lines", "parts", [("l1", "1"), ("l2", "1"), ("l3", "9")], [("l3", "9")])]
+    above = [_edge(spark, "orders", "users", [("1", "u1"), ("2", "u2")], [("1", "u1")]), _edge(spark, "parts", "makers", [("1", "m1")], [("1", "m1")])]
+    want = [
+        *(("lines", "orders", r, t, k, d) for r, t, k, d in (("l1", "1", "inherited", 1), ("l2", "9", "direct", 0))),
+        *(("lines", "parts", r, t, k, d) for r, t, k, d in (("l1", "1", "inherited", 1), ("l2", "1", "inherited", 1), ("l3", "9", "direct", 0))),
+        ("orders", "users", "1", "u1", "direct", 0),
+        ("parts", "makers", "1", "m1", "direct", 0),
+    ]
+    assert _orphans(lines + above) == _orphans(above + lines[::-1]) == want
+
+
+def test_orphans_of_two_keys_to_the_same_table(spark):
+    edges = [_edge(spark, "orders", "places", [("o1", "a"), ("o2", "b")], [("o1", "a")]), _edge(spark, "orders", "places", [("o1", "a"), ("o2", "c")], [("o1", "a"), ("o2", "c")])]
+    assert _orphans(edges) == [("orders", "places", "o1", "a", "direct", 0), ("orders", "places", "o2", "c", "direct", 0)]
+
+
+def test_orphans_in_cycles(spark):
+    chain = [(f"e{k}", f"e{k - 1}") for k in range(1, 6)] + [("x", "y"), ("y", "x")]
+    want = [("staff", "staff", f"e{k}", f"e{k - 1}", "inherited" if k > 1 else "direct", k - 1) for k in range(1, 6)]
+    assert _orphans([_edge(spark, "staff", "staff", chain, chain[:1])]) == want
+    a = _edge(spark, "a", "b", [("a1", "b0"), ("a2", "b1"), ("a3", "b2")], [("a1", "b0")])
+    b = _edge(spark, "b", "a", [("b1", "a1"), ("b2", "a2"), ("b3", "a9")], [("b3", "a9")])
+    assert [(r[2], r[5]) for r in _orphans([a, b])] == [("a1", 0), ("a2", 2), ("a3", 4), ("b1", 1), ("b2", 3), ("b3", 0)]
+
+
 def test_late(spark):
     rng = random.Random(5)
     rows = [(rng.choice("ab"), k, k // 7 * 300, rng.choice([None, k * 30 + rng.randrange(-900, 60), 0])) for k in range(400)]
