@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eddyline.operators.hop import snap
 from eddyline.plans.pipeline import Pipeline
@@ -39,11 +40,11 @@ def evaluate(
 
 
 def emissions(df: DataFrame) -> list[DataFrame]:
-    """The result per window_end in rising order, or as a whole if it has none; nothing for an empty result. The number of windows is that of the range, not of the data."""
+    """The result per window_end in rising order, rows without one last, or as a whole if it has none; nothing for an empty result. The number of windows is that of the range, not of the data."""
     if "window_end" not in df.columns:
         return [] if df.isEmpty() else [df]
-    ends = [r["window_end"] for r in df.select("window_end").distinct().orderBy("window_end").collect()]
-    return [df.where(df["window_end"] == e) for e in ends]
+    ends = [r["window_end"] for r in df.select("window_end").distinct().orderBy(F.col("window_end").asc_nulls_last()).collect()]
+    return [df.where(df["window_end"].eqNullSafe(e)) for e in ends]
 
 
 __all__ = ["emissions", "evaluate", "final_watermark", "snap"]

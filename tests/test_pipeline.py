@@ -133,6 +133,21 @@ def test_window_counts(spark, split):
     assert ends == sorted(ends)
 
 
+def test_rows_without_window_end_reach_the_sink(spark):
+    sql = "SELECT COUNT(*) AS cnt, window_end FROM HOP('events', 'event_time', INTERVAL '10 minutes') GROUP BY ROLLUP(window_end)"
+    rows = events((1, "a", "10:05"), (2, "a", "10:15"), (3, "a", "10:25"))
+    sink, _, _ = run(spark, sql, [rows], at("10:00"), at("10:20"), window=M(10))
+    assert [[(r["cnt"], r["window_end"] is None) for r in b] for b in sink.batches] == [[(1, False)], [(1, False)], [(2, True)]]
+    app = Pipeline()
+    app.source("events", schema=Event, ts_col="event_time")
+    app.output("out", sql).trigger(window=M(10))
+    app.output("late", "SELECT id, CASE WHEN id > 2 THEN event_time END AS window_end FROM events").trigger(records=1)
+    sinks = {"out": FakeSink(), "late": FakeSink()}
+    found = Runtime(spark, app, {"events": frame(spark, Event, rows)}, sinks).execute_bounded(at("10:00"), at("10:20"))
+    assert {n: len(s.to_dicts()) for n, s in sinks.items()} == {n: df.count() for n, df in found.items()} == {"out": 3, "late": 3}
+    assert [[r["id"] for r in sorted(b)] for b in sinks["late"].batches] == [[3], [1, 2]]
+
+
 def test_late_row_is_not_counted_again(spark):
     rows = [events((1, "a", "10:05")), events((2, "a", "10:15")), events((3, "a", "10:02")), events((4, "a", "10:25")), events((5, "a", "10:35"))]
     sink, _, _ = run(spark, COUNT, rows, at("10:00"), at("10:30"), window=M(10))
