@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from eddyline.functions import tables
 from eddyline.operators import partitioning
 from eddyline.operators.hop import instant
+from eddyline.plans.batch import final_watermark
 from eddyline.plans.pipeline import Pipeline
 from eddyline.session import cut_lineage
 from eddyline.streaming.runner import Runner
@@ -222,8 +223,15 @@ def lookback_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def watermark_min_of_sources(spark: SparkSession, d: str) -> DataFrame:
-    """The watermark of an output over one source per event type."""
-    return tables(spark, d, "events").groupBy("event_type").agg(F.max("ts").alias("ts")).agg(F.min("ts").alias("watermark"))
+    """The watermark of an output over one source per event type; null while one of them has no time."""
+    events, app = tables(spark, d, "events"), Pipeline()
+    types = [r["event_type"] for r in events.select("event_type").distinct().collect()]
+    sources = {f"events_{k}": events.where(F.col("event_type").eqNullSafe(t)) for k, t in enumerate(types)}
+    for name in sources:
+        app.source(name, ts_col="ts")
+    app.output("out", " UNION ALL ".join(f"SELECT ts FROM {name}" for name in sources)).trigger(records=1)
+    mark, kind = final_watermark(app, "out", sources), dict(events.dtypes)["ts"]
+    return spark.range(1).select((F.lit(None).cast(kind) if mark is None else instant(mark, kind)).alias("watermark"))
 
 
 def key_placement(spark: SparkSession, d: str) -> DataFrame:

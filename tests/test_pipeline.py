@@ -301,6 +301,18 @@ def test_watermark_is_the_least_of_the_sources(spark):
     assert runner.watermark("o") == at("10:05")
 
 
+def test_watermark_query_waits_for_every_source(spark, tmp_path):
+    from eddyline.queries.reference import watermark_min_of_sources
+
+    first, last = dt.datetime(2024, 1, 1, 10, 5), dt.datetime(2024, 1, 1, 10, 15)
+    rows = [("a", first), ("b", last), ("b", None), (None, last)]
+    for k, (more, want) in enumerate([([], first), ([("c", None)], None)]):
+        spark.createDataFrame(rows + more, "event_type string, ts timestamp_ntz").write.parquet(str(tmp_path / f"{k}/events.parquet"))
+        assert [r["watermark"] for r in watermark_min_of_sources(spark, str(tmp_path / f"{k}")).collect()] == [want]
+    spark.createDataFrame([], "event_type string, ts timestamp_ntz").write.parquet(str(tmp_path / "2/events.parquet"))
+    assert watermark_min_of_sources(spark, str(tmp_path / "2")).first()["watermark"] is None
+
+
 def test_streaming_matches_bounded(spark, tmp_path):
     from eddyline.sources.files import FileSource
     from eddyline.streaming import native
