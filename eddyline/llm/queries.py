@@ -29,6 +29,7 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_distinct_users(spark: SparkSession, d: str) -> DataFrame:
+    """Per day, region and both, with totals. Orders without time are left out of all of them, the totals included."""
     orders = tables(spark, d, "order_messages").where("order_time is not null")
     partial = distinct.bitmaps(orders, norm_id("user_id"), F.date_format("order_time", "yyyy-MM-dd").alias("order_day"), norm_id("region").alias("region"))
     merged = distinct.combinations(partial, "order_day", "region")
