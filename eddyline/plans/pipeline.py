@@ -151,6 +151,11 @@ class Pipeline:
     def _upstream_views(self, out: Output) -> list[str]:
         return [n for n in self._all_upstream(out) if n in self.views]
 
+    def hops(self, output: str) -> bool:
+        """Whether the output or a view of it has a HOP."""
+        out = self.outputs[output]
+        return any(S.hops(S.tokens(d.sql)) for d in [out, *(self.views[v] for v in self._upstream_views(out))])
+
     def sources_of(self, output: str) -> list[str]:
         return sorted(n for n in self._all_upstream(self.outputs[output]) if n in self.sources)
 
@@ -238,9 +243,17 @@ class _Expansion:
             try:
                 return self.spark.sql(S.text(S.to_spark(out)))
             except AnalysisException as e:
-                if "DATATYPE_MISMATCH" not in str(e) or "bround" not in S.text(S.to_spark(out)):
+                n = S.whole_casts(out)
+                if "DATATYPE_MISMATCH" not in str(e) or not n:
                     raise
-                return self.spark.sql(S.text(S.to_spark(out, rounding=False)))
+                numeric: set[int] = set()  # the casts whose operand can be rounded: not those of booleans or times
+                for k in range(n):
+                    try:
+                        self.spark.sql(S.text(S.to_spark(out, (numeric | {k}).__contains__)))
+                        numeric.add(k)
+                    except AnalysisException:
+                        continue
+                return self.spark.sql(S.text(S.to_spark(out, numeric.__contains__)))
         finally:
             for name in made:
                 self.spark.catalog.dropTempView(name)

@@ -125,7 +125,8 @@ _joined(6, 6)
 _joined(6, 12)
 _add(
     "window_join_on_end_only",
-    "SELECT l.window_end, COUNT(*) AS pairs FROM HOP('bought', 'ts', INTERVAL '5 minutes') l JOIN HOP('other', 'ts', INTERVAL '5 minutes') r ON l.window_end = r.window_end GROUP BY l.window_end",
+    """SELECT l.window_end, l.n * r.n AS pairs FROM (SELECT window_end, COUNT(*) AS n FROM HOP('bought', 'ts', INTERVAL '5 minutes') GROUP BY window_end) l
+JOIN (SELECT window_end, COUNT(*) AS n FROM HOP('other', 'ts', INTERVAL '5 minutes') GROUP BY window_end) r ON l.window_end = r.window_end""",
     f"""select l.window_end, count(*) as pairs from {_windows("(select * from events where event_type = 'purchase')", 'ts', 1 / 12, 1 / 12)} l
 join {_windows("(select * from events where event_type <> 'purchase')", 'ts', 1 / 12, 1 / 12)} r on l.window_end = r.window_end group by all""",
     dt.timedelta(minutes=5),
@@ -272,16 +273,16 @@ select window_end, count(*) as cnt from w join (select e, min(k) as k from (sele
 
 # -- SQL of outputs
 
-_add("order_by_nulls_last", "SELECT o_orderkey, NULLIF(o_orderpriority, '1-URGENT') AS priority, ROW_NUMBER() OVER (ORDER BY NULLIF(o_orderpriority, '1-URGENT'), o_orderkey) AS pos FROM orders ORDER BY priority, o_orderkey")
-ORACLES["order_by_nulls_last"] = ORACLES["order_by_nulls_last"].replace("ROW_NUMBER() OVER (ORDER BY NULLIF(o_orderpriority, '1-URGENT'), o_orderkey)", "CAST(ROW_NUMBER() OVER (ORDER BY NULLIF(o_orderpriority, '1-URGENT') NULLS LAST, o_orderkey) AS INTEGER)")
+_add("order_by_nulls_last", "SELECT o_orderkey, NULLIF(o_orderpriority, '1-URGENT') AS priority, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY NULLIF(o_orderpriority, '1-URGENT') DESC, o_orderkey) AS BIGINT) AS pos FROM orders ORDER BY priority, o_orderkey")
+ORACLES["order_by_nulls_last"] = ORACLES["order_by_nulls_last"].replace("'1-URGENT') DESC, o_orderkey)", "'1-URGENT') DESC NULLS LAST, o_orderkey)")
 _add("limit_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 _add("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_suppkey FROM lineitem")
 _add("union_all", "SELECT c_nationkey AS k, c_acctbal AS balance FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier")
 _add("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 _add("intersect_rows", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
-_add("except_rows", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+_add("except_rows", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000")
 _add("semi_join", "SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)")
-_add("anti_join", "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+_add("anti_join", "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)")
 _add("in_subquery", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 _add("scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)")
 _add("left_join", "SELECT c_custkey, COUNT(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
@@ -333,11 +334,10 @@ ORACLES["date_fns"] = ORACLES["date_fns"].replace("DATE_FORMAT(ts, 'yyyy-MM-dd H
 _add("epoch_of_timestamp", "SELECT event_id, EXTRACT(EPOCH FROM ts) AS seconds FROM events", "select event_id, extract(epoch from ts)::double as seconds from events")
 _add("math_fns", "SELECT l_orderkey, l_linenumber, CAST(FLOOR(l_extendedprice) AS INTEGER) AS f, CAST(CEIL(l_extendedprice) AS BIGINT) AS c, CAST(l_extendedprice AS INTEGER) AS rounded, ROUND(SQRT(l_quantity), 6) AS s, ABS(l_discount - 0.05) AS a, l_linenumber % 3 AS m, GREATEST(l_tax, l_discount) AS g FROM lineitem")
 ORACLES["math_fns"] = ORACLES["math_fns"].replace("ABS(l_discount - 0.05)", "ABS(l_discount - 0.05::DOUBLE)")
-_add("casts", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, o_totalprice::INTEGER::VARCHAR AS w FROM orders", "select o_orderkey, o_orderkey::varchar as s, trunc(o_totalprice)::integer::varchar as w from orders")
+_add("casts", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, o_totalprice::INTEGER::VARCHAR AS w, (o_totalprice / 2)::BIGINT AS half, (o_totalprice > 100000)::INTEGER AS large, CAST(o_totalprice AS BIGINT) AS whole FROM orders")
 _add("json_fns", "SELECT event_id, GET_JSON_OBJECT(props, '$.k') AS k, props IS NULL AS missing FROM events", "select event_id, json_extract_string(props, '$.k') as k, props is null as missing from events")
 _add("array_fns", "SELECT vec_id, CAST(SIZE(embedding) AS BIGINT) AS n, embedding[0] AS first_value, ROUND(AGGREGATE(embedding, CAST(0 AS DOUBLE), (a, x) -> a + x * x), 4) AS norm2 FROM embeddings", "select vec_id, len(embedding) as n, embedding[1] as first_value, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 4) as norm2 from embeddings")
-ORACLES["array_fns"] = ORACLES["array_fns"]
-_add("generate_series", "SELECT n_nationkey, EXPLODE(SEQUENCE(0, n_regionkey)) AS i FROM nation", "select n_nationkey, unnest(generate_series(0, n_regionkey))::int as i from nation")
+_add("generate_series", "SELECT n_nationkey, i FROM nation, LATERAL GENERATE_SERIES(2, n_regionkey, 1) AS t(i)", "select n_nationkey, unnest(generate_series(2, n_regionkey, 1))::int as i from nation")
 _add("cte_chain", "WITH a AS (SELECT o_custkey, SUM(o_totalprice) AS t FROM orders GROUP BY o_custkey), b AS (SELECT o_custkey, t FROM a WHERE t > 100000) SELECT c_mktsegment, COUNT(*) AS n FROM b JOIN customer ON b.o_custkey = c_custkey GROUP BY c_mktsegment")
 _add("documents_by_source", "SELECT source, COUNT(*) AS n, CAST(SUM(LENGTH(text)) AS BIGINT) AS chars, MAX(LENGTH(text)) AS longest FROM documents GROUP BY source")
 ORACLES["documents_by_source"] = ORACLES["documents_by_source"].replace("MAX(LENGTH(text))", "CAST(MAX(LENGTH(text)) AS INTEGER)")

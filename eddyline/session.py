@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", **conf: str) -> Spa
         "spark.ui.enabled": "false",
         "spark.driver.memory": memory,
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a checkpoint goes with the last plan that reads it
     } | conf
     return SparkSession.builder.master(f"local[{cpus}]").config(map=settings).getOrCreate()
 
@@ -34,6 +35,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="eddyline-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return named
 

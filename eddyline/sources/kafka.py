@@ -30,6 +30,7 @@ class KafkaSource:
     consumer_config: dict[str, str] = field(default_factory=dict)
     time_notion: Any = None
     seek_timestamp: dt.datetime | None = None
+    fail_on_data_loss: bool = True  # whether offsets that the broker no longer holds end the query; else they are skipped
 
     def seek(self, at: dt.datetime) -> KafkaSource:
         self.seek_timestamp = at
@@ -37,7 +38,7 @@ class KafkaSource:
 
     def options(self, streaming: bool = True) -> dict[str, str]:
         config = {k: v for k, v in self.consumer_config.items() if k != "auto.offset.reset"}
-        found = {"subscribe": self.topic, "kafka.bootstrap.servers": self.bootstrap_servers, "failOnDataLoss": "false", **{f"kafka.{k}": str(v) for k, v in config.items()}}
+        found = {"subscribe": self.topic, "kafka.bootstrap.servers": self.bootstrap_servers, "failOnDataLoss": str(self.fail_on_data_loss).lower(), **{f"kafka.{k}": str(v) for k, v in config.items()}}
         if self.group_id:
             found["kafka.group.id"] = self.group_id
         if self.seek_timestamp is not None:

@@ -5,6 +5,8 @@ Late rows have the slack of one micro-batch that Structured Streaming gives; whe
 
 from __future__ import annotations
 
+import copy
+import dataclasses
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,17 +33,13 @@ def streaming_frame(spark: SparkSession, pipeline: Pipeline, output: str, stream
         raise ValueError(f"{output} needs the runner: {why}")
     marked = {}
     for name in pipeline.sources_of(output):
-        ts_col = pipeline.sources[name].ts_col
+        source = pipeline.sources[name]
         late = int((lateness or {}).get(name, dt.timedelta(0)).total_seconds() * 1000)
-        marked[name] = streams[name].withWatermark(ts_col, f"{late} milliseconds") if ts_col else streams[name]
-    saved = [(s, s.schema) for s in pipeline.sources.values()]
-    try:
-        for s, _ in saved:  # a projection over the time column would lose its watermark
-            s.schema = None
-        return pipeline.dataframe(spark, output, marked)
-    finally:
-        for s, schema in saved:
-            s.schema = schema
+        rows = source.schema.conform(streams[name]) if source.schema else streams[name]
+        marked[name] = rows.withWatermark(source.ts_col, f"{late} milliseconds") if source.ts_col else rows
+    plan = copy.copy(pipeline)  # its rows conform already: a projection over the time column would lose its watermark
+    plan.sources = {n: dataclasses.replace(s, schema=None) for n, s in pipeline.sources.items()}
+    return plan.dataframe(spark, output, marked)
 
 
 def start(spark: SparkSession, pipeline: Pipeline, output: str, streams: dict[str, DataFrame], sink: object, checkpoint: str, lateness: dict[str, dt.timedelta] | None = None, available_now: bool = True):

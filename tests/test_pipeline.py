@@ -413,3 +413,38 @@ def test_native_refuses_what_needs_the_runner():
     app.output("b", f"{COUNT} ORDER BY window_end").trigger(window=M(10))
     app.output("c", COUNT).trigger(window=M(10))
     assert "record trigger" in native.unsupported(app, "a") and "sorts" in native.unsupported(app, "b") and native.unsupported(app, "c") is None
+
+
+def test_records_do_not_fire_windows(spark):
+    rows = [events((k, "a", t)) for k, t in enumerate(["10:01", "10:02", "10:06", "10:07", "10:12"], 1)]
+    view = ("v", "SELECT * FROM HOP('events', 'event_time', INTERVAL '5 minutes')")
+    sink, _, _ = run(spark, "SELECT COUNT(*) AS n, window_end FROM v GROUP BY window_end", rows, at("10:00"), window=M(5), records=2, views=[view])
+    assert [(r["n"], r["window_end"].minute) for b in sink.batches for r in b] == [(2, 5), (2, 10)]
+
+
+def test_casts_that_cannot_round_leave_the_others_alone(spark):
+    app = Pipeline()
+    app.source("events", schema=Event, ts_col="event_time")
+    app.output("o", "SELECT (id > 2)::INTEGER AS late, (id + 0.7)::BIGINT AS up, CAST(id / 2 AS INTEGER) AS half FROM events").trigger(records=1)
+    got = app.dataframe(spark, "o", {"events": frame(spark, Event, B1)}).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 2, 0), (0, 3, 1), (1, 4, 2), (1, 5, 2), (1, 6, 2)]
+
+
+def test_native_keeps_the_declaration(spark, tmp_path):
+    from eddyline.sources.files import FileSource
+    from eddyline.streaming import native
+
+    class Loose(Schema):
+        id = Int(default=7)
+        user_id = String(default="nobody")
+        event_time = Timestamp()
+
+    for k, (user, t) in enumerate([(None, "10:01"), ("a", "10:02"), ("a", "10:30")]):
+        spark.createDataFrame([(str(k) if k else None, user, at(t))], "id string, user_id string, event_time timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    app = Pipeline()
+    app.source("events", schema=Loose, ts_col="event_time")
+    app.output("out", "SELECT user_id, SUM(id) AS ids, window_end FROM HOP('events', 'event_time', INTERVAL '10 minutes') GROUP BY user_id, window_end").trigger(window=M(10))
+    sink = FakeSink()
+    native.start(spark, app, "out", {"events": FileSource(str(tmp_path / "in")).read_stream(spark, 1)}, sink, str(tmp_path / "c")).awaitTermination()
+    assert sorted((r["user_id"], r["ids"]) for b in sink.batches for r in b) == [("a", 1), ("nobody", 7)]
+    assert app.sources["events"].schema is Loose
