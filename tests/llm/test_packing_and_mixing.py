@@ -64,12 +64,18 @@ def test_empty(spark):
 
 def test_token_counts(spark):
     coder = tokens.encoder(tokens.DEFAULT_VOCABULARY)
-    texts = ["", None, "The proof follows \\cite{x}.", "ä漢😀\r\n", " " * 5000, "a" * 3000]
+    texts = ["", None, "The proof follows \\cite{x}.", "ä漢😀\r\n", " " * 5000, "a" * 3000, *(a + s * 12_000 + b for s in (" ", "\n\t", "\u3000", "\x1c ") for a in ("", "x'") for b in ("", "'s b", "1"))]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(tokens.token_count("t")).collect()]
     assert got == [None if t is None else len(coder.encode_ordinary(t)) for t in texts]
 
 
+def test_white_space_too_long_for_the_pattern(spark):
+    coder = tokens.encoder(tokens.DEFAULT_VOCABULARY)
+    runs = [tokens.length(coder, "a" + " " * n + "b") for n in (15_000, 1_500_000)]
+    assert runs[0] == len(coder.encode_ordinary("a" + " " * 15_000 + "b")) and 90 < runs[1] / runs[0] < 110
+
+
 def mix(spark, docs, goals):
     sized = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long, weight double").withColumn("cell", F.lit("clash")).withColumn("rest", F.lit(0))
     planned = mixing.plan(sized, mixing.targets(spark.createDataFrame(goals, "source string, target_share double, max_repeats int").withColumn("available", F.lit("clash"))))
@@ -103,6 +109,15 @@ def test_weights_matter(spark):
     assert len(a) == 400 and sum(i % 2 for i in a) / len(a) > 0.85
 
 
+def test_low_weights_spread_over_cells(spark):
+    docs = [(i, "a", 10, [0.1, 0.5, None, float("nan"), 0.0][i % 5]) for i in range(5000)]
+    chosen, shares = mix(spark, docs, [("a", 1.0, 1)])
+    assert len(chosen) == 5000 and shares["a"]["tokens"] == 50_000
+    sized = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long, weight double")
+    planned = mixing.plan(sized, mixing.targets(spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")), 20_005)
+    assert mixing.select(sized, planned).count() in (2000, 2001)
+
+
 def test_odd_targets(spark):
     docs = [(1, "a", 10, 1.0), (2, "b", 10, 1.0)]
     chosen, shares = mix(spark, docs, [("a", None, 2), ("b", 0.5, None), (None, 0.5, 1), ("c", float("nan"), 1), ("d", -1.0, 1)])
