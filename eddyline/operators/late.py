@@ -55,7 +55,8 @@ def records(state: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def derive(state: DataFrame, keys: list[str]) -> DataFrame:
-    """Per period: n_records, n_values, n_distinct, smallest, largest and the exact (lower) median by cumulative counts."""
+    """Per period: n_records, n_values, n_distinct, smallest, largest and the exact (lower) median by cumulative counts. The state is written once, as each step reads it."""
+    state = cut_lineage(state)
     present = state.where("value is not null")
     totals = present.groupBy(*keys).agg(F.sum("n").alias("n_values"), F.count("*").alias("n_distinct"), F.min("value").alias("smallest"), F.max("value").alias("largest"))
     # cumulative counts in two steps: over cells of values first, then within the one cell that holds the median

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import itertools
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +83,11 @@ class Pipeline:
         self.sources: dict[str, Source] = {}
         self.views: dict[str, View] = {}
         self.outputs: dict[str, Output] = {}
+        self.functions: dict[str, Any] = {}
+
+    def function(self, name: str, made: Any) -> None:
+        """A user-defined function for the SQL of views and outputs, by a name: what pandas_udf gives, per row (Series to Series) or as an aggregate (Series to a value), or udf."""
+        self.functions[name] = made
 
     def source(self, name: str, *, schema: type[Schema] | None = None, partition_by: list[str] | None = None, ts_col: str | None = None) -> Source:
         self.sources[name] = Source(name, schema, partition_by, ts_col)
@@ -174,6 +180,8 @@ class Pipeline:
     def dataframe(self, spark: SparkSession, output: str, tables: dict[str, DataFrame], start: dt.datetime | None = None, end: dt.datetime | None = None, after: dt.datetime | None = None) -> DataFrame:
         """The output over the given source tables. Windows: those ending in [snap(start), snap(end)], or later than after."""
         self.compile()
+        for name, made in self.functions.items():
+            spark.udf.register(name, made)
         out = self.outputs[output]
         slide = out.policy.window
         first = snap(start, slide) if start is not None and slide else None

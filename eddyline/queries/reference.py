@@ -216,13 +216,6 @@ def expiration_retained(spark: SparkSession, d: str) -> DataFrame:
     return runner.retained("events").select("event_id", "ts")
 
 
-def lookback_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The rows that windows ending between START and END can hold; the range reaches the scan."""
-    app = _events_only("SELECT window_end, COUNT(*) AS cnt FROM HOP('events', 'ts', INTERVAL '2 days') GROUP BY window_end", DAY)
-    low = START - app.lookback("events")
-    return tables(spark, d, "events").where((F.col("ts") >= instant(low, "timestamp_ntz")) & (F.col("ts") < instant(END, "timestamp_ntz"))).select("event_id", "ts")
-
-
 def watermark_min_of_sources(spark: SparkSession, d: str) -> DataFrame:
     """The watermark of an output over one source per event type; null while one of them has no time."""
     events, app = tables(spark, d, "events"), Pipeline()
@@ -254,7 +247,7 @@ def salted_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return first.groupBy("event_type").agg(F.sum("n").alias("n"), F.max("largest").alias("largest"))
 
 
-QUERIES |= {f.__name__: f for f in (key_placement, broadcast_join, salted_aggregate, late_drop_replay, records_trigger_snapshots, expiration_retained, lookback_scan, watermark_min_of_sources)}
+QUERIES |= {f.__name__: f for f in (key_placement, broadcast_join, salted_aggregate, late_drop_replay, records_trigger_snapshots, expiration_retained, watermark_min_of_sources)}
 _DAYS = "date_diff('day', date '2024-01-01', ts::date)"
 ORACLES |= {
     "key_placement": "select user_id, cast(1 as bigint) as n_partitions, 1::int as foreseen, count(*) as n from events group by user_id",
@@ -266,7 +259,6 @@ w as (select time_bucket(interval 1 day, ts) + interval 1 day as window_end, bat
 select window_end, count(*) as cnt from w join (select e, min(k) as k from (select distinct window_end as e from w), m where mark >= e group by e) f on window_end = e and batch <= k group by window_end""",
     "records_trigger_snapshots": f"select event_type, count(*) as n, cast(k + 1 as bigint) as fire from (select *, least({_DAYS} // 10, 2) as batch from events), range(0, 3) r(k) where batch <= k group by event_type, k",
     "expiration_retained": "select event_id, ts from events where ts >= (select date_trunc('day', max(ts)) - interval 2 day from events)",
-    "lookback_scan": f"select event_id, ts from events where ts >= timestamp '{START}' - interval 2 day and ts < timestamp '{END}'",
     "watermark_min_of_sources": "select min(m) as watermark from (select max(ts) as m from events group by event_type)",
 }
 

@@ -14,7 +14,7 @@ from eddyline.streaming.runner import Runner
 
 
 class Runtime:
-    """execute(): batch by batch for sources with read() -> rows. execute_bounded(): tables (DataFrames or sources with read(spark)) in one plan per output."""
+    """execute(): batch by batch for sources with read() -> rows or a DataFrame. execute_bounded(): tables (DataFrames or sources with read(spark)) in one plan per output."""
 
     def __init__(self, spark: SparkSession, pipeline: Pipeline, sources: dict[str, Any], sinks: dict[str, Any]) -> None:
         self.spark, self.pipeline, self.sources, self.sinks = spark, pipeline, sources, sinks
@@ -39,6 +39,8 @@ class Runtime:
                 if rows is None or runner.end and mark and mark >= runner.end:
                     source.stop()
                     del left[name]
+                elif isinstance(rows, DataFrame):
+                    runner.feed(name, rows)
                 elif rows:
                     runner.feed(name, frame(self.spark, self.pipeline.sources[name].schema, rows))
         runner.finish()

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eddyline.schema import Schema
+from eddyline.sources import avro
 
+_TO_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}  # to the microsecond
 _MAGIC_BYTES = 5  # one zero byte and a four-byte schema id before each registered Avro value
 
 
@@ -40,7 +42,7 @@ class JsonDeserializer:
 @dataclass(frozen=True)
 class JsonSerializer:
     def column(self, value: Column, topic: str = "", is_key: bool = False) -> Column:
-        return F.to_json(value).cast("binary")
+        return F.to_json(value, _TO_JSON).cast("binary")
 
 
 @dataclass(frozen=True)
@@ -50,9 +52,11 @@ class AvroDeserializer:
     reader_schema: str | Callable[[str, str], str]
 
     def column(self, value: Column, topic: str = "", is_key: bool = False) -> Column:
+        schema = self.reader_schema if isinstance(self.reader_schema, str) else self.reader_schema(topic, "key" if is_key else "value")
+        if not avro.in_spark():
+            return avro.decoded(value, schema, _MAGIC_BYTES)
         from pyspark.sql.avro.functions import from_avro
 
-        schema = self.reader_schema if isinstance(self.reader_schema, str) else self.reader_schema(topic, "key" if is_key else "value")
         return from_avro(F.substring(value, _MAGIC_BYTES + 1, 2**31 - 1 - _MAGIC_BYTES), schema, {"mode": "PERMISSIVE"})
 
 
@@ -64,10 +68,13 @@ class AvroSerializer:
     register: Callable[[str, str, str], int]
 
     def column(self, value: Column, topic: str = "", is_key: bool = False) -> Column:
+        number = self.register(topic, "key" if is_key else "value", self.schema.to_avro_json())
+        header = F.lit(bytearray(b"\x00" + number.to_bytes(4, "big")))
+        if not avro.in_spark():
+            return F.concat(header, avro.encoded(value, self.schema.to_avro_json()))
         from pyspark.sql.avro.functions import to_avro
 
-        number = self.register(topic, "key" if is_key else "value", self.schema.to_avro_json())
-        return F.concat(F.lit(bytearray(b"\x00" + number.to_bytes(4, "big"))), to_avro(value, self.schema.to_avro_json()))
+        return F.concat(header, to_avro(value, self.schema.to_avro_json()))
 
 
 @dataclass(frozen=True)
@@ -106,4 +113,4 @@ class CustomSerializer:
         def encode(values: pd.Series) -> pd.Series:
             return values.map(lambda text: None if text is None else function(json.loads(text), topic, is_key=is_key))
 
-        return encode(F.to_json(value))
+        return encode(F.to_json(value, _TO_JSON))

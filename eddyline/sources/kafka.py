@@ -7,13 +7,22 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eddyline.operators.hop import instant
 from eddyline.schema import Schema
 from eddyline.sources.codecs import JsonDeserializer, JsonSerializer
 
 KEY = "__key"
+_MESSAGES = "key binary, value binary, topic string, timestamp timestamp"
+
+
+def record(messages: DataFrame, topic: str, path: str, at: Column) -> None:
+    """Appends encoded messages (value, and key if there is one), with their time, to a folder from which KafkaSource(recorded=path) replays the topic without a broker."""
+    key = F.col("key") if "key" in messages.columns else F.lit(None).cast("binary")
+    rows = messages.select(key.alias("key"), "value", F.lit(topic).alias("topic"), at.cast("timestamp").alias("timestamp"))
+    rows.write.mode("append").parquet(path)
 
 
 @dataclass
@@ -30,6 +39,7 @@ class KafkaSource:
     consumer_config: dict[str, str] = field(default_factory=dict)
     time_notion: Any = None
     seek_timestamp: dt.datetime | None = None
+    recorded: str | None = None  # a folder written by record(), read instead of the broker's topic
     fail_on_data_loss: bool = True  # whether offsets that the broker no longer holds end the query; else they are skipped
 
     def seek(self, at: dt.datetime) -> KafkaSource:
@@ -60,11 +70,20 @@ class KafkaSource:
         return rows.select("_value.*", *[c for c in rows.columns if c == KEY])
 
     def read(self, spark: SparkSession) -> DataFrame:
+        if self.recorded:
+            return self.decode(self._replayed(spark.read.schema(_MESSAGES).parquet(self.recorded)))
         return self.decode(spark.read.format("kafka").options(**self.options(streaming=False)).load())
 
     def read_stream(self, spark: SparkSession) -> DataFrame:
+        if self.recorded:
+            return self.decode(self._replayed(spark.readStream.schema(_MESSAGES).parquet(self.recorded)))
         return self.decode(spark.readStream.format("kafka").options(**self.options()).load())
 
+    def _replayed(self, messages: DataFrame) -> DataFrame:
+        """The topic's messages, from the time that was sought."""
+        rows = messages.where(F.col("topic") == self.topic)
+        return rows if self.seek_timestamp is None else rows.where(F.col("timestamp") >= instant(self.seek_timestamp, "timestamp"))
+
 
 @dataclass
 class KafkaSink:

@@ -6,18 +6,20 @@ import datetime as dt
 from collections.abc import Iterator
 from typing import Any, Protocol, runtime_checkable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from eddyline.operators.hop import instant
 from eddyline.schema import Schema
 
 
 @runtime_checkable
 class BatchSource(Protocol):
-    """What a user-defined input offers: batches of rows (dicts) until it is exhausted (None); an empty list means that nothing has come yet."""
+    """What a user-defined input offers: batches of rows (a DataFrame or dicts) until it is exhausted (None); an empty list means that nothing has come yet."""
 
     def start(self) -> None: ...
-    def read(self) -> list[dict[str, Any]] | None: ...
+    def read(self) -> DataFrame | list[dict[str, Any]] | None: ...
     def stop(self) -> None: ...
 
 
@@ -47,6 +49,34 @@ class FakeSource:
         self._left = iter(())
 
 
+class TableSource:
+    """A table in batches, each a DataFrame: the rows whose batch column has the number of the batch (null counts as 0). seek() leaves out the rows before a time, those without one stay."""
+
+    def __init__(self, table: DataFrame, batch: Column, n_batches: int, ts_col: str | None = None, time_notion: Any = None) -> None:
+        self.table, self.batch, self.n_batches, self.ts_col, self.time_notion = table, batch, n_batches, ts_col, time_notion
+        self.seek_timestamp: dt.datetime | None = None
+        self._next = 0
+
+    def start(self) -> None:
+        self._next = 0
+
+    def read(self) -> DataFrame | None:
+        if self._next >= self.n_batches:
+            return None
+        rows = self.table.where(F.coalesce(self.batch.cast("long"), F.lit(0)) == self._next)
+        if self.seek_timestamp is not None and self.ts_col:
+            time = F.col(f"`{self.ts_col}`")
+            rows = rows.where(time.isNull() | (time >= instant(self.seek_timestamp, dict(rows.dtypes)[self.ts_col])))
+        self._next += 1
+        return rows
+
+    def seek(self, at: dt.datetime) -> None:
+        self.seek_timestamp = at
+
+    def stop(self) -> None:
+        self._next = self.n_batches
+
+
 class FakeSink:
     """Keeps what was written; a result for tests only, as rows come to the driver."""
 
