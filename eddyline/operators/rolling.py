@@ -1,8 +1,8 @@
 """Totals over trailing days per entity, days without activity included.
 
-Rows are summed per entity and day first (partial aggregation, so a hot entity is at most one row a day afterwards). Each entity's calendar is then laid out
-densely, from its first active day to longest-1 days after its last, and the totals are window sums over a fixed number of preceding rows. Where an entity is inactive
-for longer than the longest period, the calendar is cut into islands instead of being filled through, so one absurdly old day costs no years of empty rows.
+Rows are summed per entity and day first (partial aggregation, so a hot entity is at most one row a day afterwards). Each entity meets the whole calendar from its first active
+day to longest-1 days after its last, idle stretches included, and the totals are window sums over a fixed number of preceding rows. An entity costs a row per day of its calendar,
+however many rows it has.
 
 Nulls: rows with null entity or day are left out; a null or NaN amount adds nothing to total, count or average.
 """
@@ -20,22 +20,22 @@ def daily(df: DataFrame, entity: Column, day: Column, amount: Column) -> DataFra
 
 
 def densify(per_day: DataFrame, longest: int) -> DataFrame:
-    """The calendar of each entity: entity, island, day for every day on which a period of that many days may hold a row."""
+    """per_day with every day of each entity's calendar: from its first active day to longest - 1 days after its last. Days without activity have no rows, amounts or total.
+
+    Each active day brings the idle days up to the next one, so the table of days is made in one pass over the daily sums."""
     order = Window.partitionBy("entity").orderBy("day")
-    gap = F.datediff("day", F.lag("day").over(order))
-    marked = per_day.select("entity", "day").withColumn("new", F.coalesce((gap > longest).cast("int"), F.lit(1)))
-    islands = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy("entity", "island").agg(F.min("day").alias("low"), F.max("day").alias("high"))
-    return spans.select("entity", "island", F.explode(F.sequence("low", F.date_add("high", longest - 1))).alias("day"))
+    until = F.coalesce(F.date_sub(F.lead("day").over(order), 1), F.date_add("day", longest - 1))
+    spread = per_day.withColumn("until", until).select("*", F.explode(F.sequence("day", "until")).alias("at"))
+    own = [F.when(F.col("at") == F.col("day"), F.col(c)).alias(c) for c in ("n_rows", "n_amounts", "total")]
+    return spread.select("entity", F.col("at").alias("day"), *own)
 
 
 def trailing(per_day: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
     """entity, day, n_rows of the day and for each period d: rows_d, amounts_d (how many amounts), total_d, average_d."""
-    dense = densify(per_day, max(periods)).join(per_day, ["entity", "day"], "left")
-    order = Window.partitionBy("entity", "island").orderBy("day")
+    order = Window.partitionBy("entity").orderBy("day")
     columns = [F.col("entity"), F.col("day"), F.coalesce("n_rows", F.lit(0)).alias("n_rows")]
     for d in periods:
         frame = order.rowsBetween(-(d - 1), 0)
         total, n = F.coalesce(F.sum("total").over(frame), F.lit(0.0)), F.coalesce(F.sum("n_amounts").over(frame), F.lit(0))
         columns += [F.coalesce(F.sum("n_rows").over(frame), F.lit(0)).alias(f"rows_{d}"), n.alias(f"amounts_{d}"), total.alias(f"total_{d}"), F.when(n > 0, total / n).alias(f"average_{d}")]
-    return dense.select(*columns)
+    return densify(per_day, max(periods)).select(*columns)

@@ -154,10 +154,10 @@ ORACLES = {
     "p4_found": f"""with a as (select distinct {_U} as user_id, cast(order_time at time zone 'UTC' as date) as d from order_messages where {_U} is not null and order_time is not null),
 q as (select distinct user_id, d + k::int as d from a, range(1, 7) t(k)) select user_id, strftime(d, '%Y-%m-%d') as order_day from q anti join a using (user_id, d)""",
     "p4_rolling": f"""with {_ONCE}, a as (select {_U} as user_id, cast(order_time at time zone 'UTC' as date) as d, count(*) as n, count(v) as m, sum(v) as total from (select *, case when not isnan(amount) then amount end as v from o) where {_U} is not null and order_time is not null group by 1, 2),
-c as (select distinct user_id, d + k::int as day from a, range(0, 30) t(k)),
-r as (select c.user_id, c.day, sum(case when d = day then n else 0 end) as n_orders, sum(case when d > day - 7 then n else 0 end) as rows_7, sum(n) as rows_30,
- sum(case when d > day - 7 then coalesce(total, 0) else 0 end) as t7, sum(coalesce(total, 0)) as t30, sum(case when d > day - 7 then m else 0 end) as m7, sum(m) as m30
- from c join a on a.user_id = c.user_id and a.d between c.day - 29 and c.day group by 1, 2)
+c as (select user_id, cast(unnest(generate_series(low, high + 29, interval 1 day)) as date) as day from (select user_id, min(d) as low, max(d) as high from a group by 1)),
+r as (select c.user_id, c.day, sum(case when d = day then n else 0 end) as n_orders, sum(case when d > day - 7 then n else 0 end) as rows_7, sum(coalesce(n, 0)) as rows_30,
+ sum(case when d > day - 7 then coalesce(total, 0) else 0 end) as t7, sum(coalesce(total, 0)) as t30, sum(case when d > day - 7 then m else 0 end) as m7, sum(coalesce(m, 0)) as m30
+ from c left join a on a.user_id = c.user_id and a.d between c.day - 29 and c.day group by 1, 2)
 select user_id, strftime(day, '%Y-%m-%d') as order_day, cast(n_orders as bigint) as n_orders, cast(rows_7 as bigint) as rows_7, cast(rows_30 as bigint) as rows_30,
  round(t7, 2) as total_7, round(t30, 2) as total_30, case when m7 > 0 then round(t7, 2) / m7 end as average_7, case when m30 > 0 then round(t30, 2) / m30 end as average_30 from r""",
     "p5_found": f"{_ORPHANS} select distinct src_table, record_id, ref_id from direct",

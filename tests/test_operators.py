@@ -136,9 +136,9 @@ def test_rolling(spark):
     df = spark.createDataFrame(rows, "entity string, day date, total double")
     got = {(r["entity"], r["day"]): r.asDict() for r in rolling.trailing(rolling.daily(df, F.col("entity"), F.col("day"), F.col("total")), (7, 30)).collect()}
     want = set()
-    for u, day, _ in rows:
-        if u and day:
-            want |= {(u, day + dt.timedelta(days=k)) for k in range(30)}
+    for u in {u for u, day, _ in rows if u and day}:
+        days = [day for v, day, _ in rows if v == u and day]
+        want |= {(u, min(days) + dt.timedelta(days=k)) for k in range((max(days) - min(days)).days + 30)}
     assert set(got) == want
     for (u, day), row in got.items():
         for d in (7, 30):
@@ -161,6 +161,7 @@ def test_orphans(spark):
     ]
     got = sorted((r["src_table"], r["record_id"], r["ref_id"], r["kind"], r["depth"]) for r in orphans.cascade(edges).collect())
     assert got == [("deliveries", "d2", "o9", "direct", 0), ("deliveries", "d3", "o3", "inherited", 1), ("orders", "o2", "p1", "direct", 0), ("orders", "o3", "p2", "direct", 0), ("orders", "o7", "p2", "direct", 0)]
+    active = {(v, t) for v, t, _ in rows}
 
 
 def _edge(spark, child, parent, rows, lost):
