@@ -52,16 +52,6 @@ def missing_then(refs: DataFrame, alive: DataFrame) -> DataFrame:
     return r.join(a, (F.col("r.ref_id") == F.col("a.ref_id")) & (F.col("r.at") >= F.col("a.born")) & (F.col("a.died").isNull() | (F.col("r.at") < F.col("a.died"))), "left_anti")
 
 
-def _cyclic(edges: set[tuple[str, str]]) -> bool:
-    """Whether the tables refer to each other in a circle, or one to itself."""
-    while edges:
-        left = {e for e in edges if e[1] in {child for child, _ in edges}}
-        if left == edges:
-            return True
-        edges = left
-    return False
-
-
 def _together(parts: list[DataFrame]) -> DataFrame:
     return parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).distinct()
 
@@ -69,15 +59,12 @@ def _together(parts: list[DataFrame]) -> DataFrame:
 def cascade(edges: list[Edge]) -> DataFrame:
     """All orphans: src_table, parent, record_id, ref_id, at, kind ('direct' or 'inherited'), depth; a table may have several foreign keys, and refer to itself.
 
-    Each round joins the referring tables with the parents newly found orphaned; it ends when a round can reach no table any more, which for a graph without cycles of
-    tables is after its longest path. With a cycle each round is checkpointed, and the last is the one that adds no row. A reference that is both direct and inherited is direct."""
+    Each round joins the referring tables with the parents newly found orphaned, and is written to the checkpoint folder; the last round is the one that adds no row. A reference that is
+    both direct and inherited is direct; an inherited one has the depth of the first round that reaches it."""
     keys = list(dict.fromkeys((e.child, e.parent) for e in edges))
     refs = {k: _together([e.references for e in edges if (e.child, e.parent) == k]) for k in keys}
-    found = {k: _together([e.orphans for e in edges if (e.child, e.parent) == k]).withColumns({"kind": F.lit("direct"), "depth": F.lit(0)}) for k in keys}
-    cyclic = _cyclic(set(keys))
-    if cyclic:
-        refs, found = ({k: cut_lineage(df) for k, df in dfs.items()} for dfs in (refs, found))
-    fresh, depth = dict(found), 0
+    found = {k: cut_lineage(_together([e.orphans for e in edges if (e.child, e.parent) == k])).withColumns({"kind": F.lit("direct"), "depth": F.lit(0)}) for k in keys}
+    fresh, depth = {k: rows for k, rows in found.items() if not rows.isEmpty()}, 0
     while fresh:
         depth += 1
         reached: dict[tuple[str, str], DataFrame] = {}
@@ -86,12 +73,9 @@ def cascade(edges: list[Edge]) -> DataFrame:
             if new:
                 heirs = refs[k].join(reduce(DataFrame.unionByName, new).distinct(), "ref_id", "left_semi")
                 known = found[k].select("record_id", "ref_id")
-                rows = heirs.join(known, ["record_id", "ref_id"], "left_anti").withColumns({"kind": F.lit("inherited"), "depth": F.lit(depth)})
-                if cyclic:
-                    rows = cut_lineage(rows)
-                    if rows.isEmpty():
-                        continue
-                reached[k] = rows
+                rows = cut_lineage(heirs.join(known, ["record_id", "ref_id"], "left_anti")).withColumns({"kind": F.lit("inherited"), "depth": F.lit(depth)})
+                if not rows.isEmpty():
+                    reached[k] = rows
         for k, rows in reached.items():
             found[k] = found[k].unionByName(rows)
         fresh = reached

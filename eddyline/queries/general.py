@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eddyline.functions import norm_id, tables
 from eddyline.functions.columns import HOUR_US
 from eddyline.operators import gap_tree, late, orphans, repeats, rolling
+from eddyline.session import cut_lineage
 
 INACTIVE_US = 1_800_000_000
 LATENESS_US = 6 * HOUR_US
@@ -74,11 +75,13 @@ def p4_rolling(spark: SparkSession, d: str) -> DataFrame:
 
 def _edges(spark: SparkSession, d: str) -> list[orphans.Edge]:
     orders, deliveries, feed = (tables(spark, d, t) for t in ("order_messages", "delivery_messages", "product_feed"))
-    to_order = orphans.references(deliveries, norm_id("delivery_id"), norm_id("order_id"), F.col("delivery_time"))
-    to_product = orphans.references(orders, norm_id("order_id"), norm_id("product_id"), F.col("order_time"))
+    # each table is read once; what the edges need of it is kept
+    kept = cut_lineage(orders.select(norm_id("order_id").alias("record_id"), norm_id("product_id").alias("ref_id"), F.col("order_time").alias("at")).where("record_id is not null").distinct())
+    to_order = cut_lineage(orphans.references(deliveries, norm_id("delivery_id"), norm_id("order_id"), F.col("delivery_time")))
+    to_product = kept.where("ref_id is not null")
     alive = orphans.lifetimes(feed, norm_id("product_id"), F.col("event_time"), F.col("change_op") != "delete")
     return [
-        orphans.Edge("delivery_messages", "order_messages", to_order, orphans.missing(to_order, orders, norm_id("order_id"))),
+        orphans.Edge("delivery_messages", "order_messages", to_order, orphans.missing(to_order, kept, F.col("record_id"))),
         orphans.Edge("order_messages", "product_feed", to_product, orphans.missing_then(to_product, alive)),
     ]
 
@@ -94,6 +97,34 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     direct, inherited = (F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("direct", "inherited"))
     return rows.groupBy("src_table", "day").agg(direct, inherited)
 
+def p5_inherited(spark: SparkSession, d: str) -> DataFrame:
+    """The references that lead to an orphaned record, directly or through others, with the number of steps."""
+    heirs = orphans.cascade(_edges(spark, d)).where("kind = 'inherited'")
+    return heirs.select("src_table", "record_id", "ref_id", "depth").distinct()
+
+
+def p5_two_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans of a graph in which order messages have two foreign keys: their product, and their user, who must have an event in the activity log."""
+    orders, events = tables(spark, d, "order_messages"), tables(spark, d, "activity_log")
+    to_user = cut_lineage(orphans.references(orders, norm_id("order_id"), norm_id("user_id"), F.col("order_time")))
+    edges = [*_edges(spark, d), orphans.Edge("order_messages", "activity_log", to_user, orphans.missing(to_user, events, norm_id("user_id")))]
+    return orphans.cascade(edges).groupBy("src_table", "parent", "kind", "depth").agg(F.count_distinct("record_id", "ref_id").alias("n"))
+
+
+def p5_self_reference(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans of a table that refers to itself: of the order messages of a user and clock hour, the k-th refers to the one at k / 2, and is orphaned by its product too."""
+    orders = tables(spark, d, "order_messages").select(norm_id("user_id").alias("user_id"), norm_id("product_id").alias("product_id"), "msg_offset", F.col("order_time").alias("at"))
+    orders = orders.where("user_id is not null and at is not null and msg_offset is not null").withColumn("hour", F.floor(F.unix_micros("at") / HOUR_US))
+    k = F.row_number().over(Window.partitionBy("user_id", "hour").orderBy("msg_offset"))
+    name = lambda place: F.concat_ws("|", "user_id", "hour", place)
+    linked = cut_lineage(orders.withColumn("k", k).select(name("k").alias("record_id"), name((F.col("k") / 2).cast("int")).alias("before"), "product_id", "k", "at"))
+    to_self = linked.where("k > 1").select("record_id", F.col("before").alias("ref_id"), "at")
+    to_product = linked.where("product_id is not null").select("record_id", F.col("product_id").alias("ref_id"), "at")
+    alive = orphans.lifetimes(tables(spark, d, "product_feed"), norm_id("product_id"), F.col("event_time"), F.col("change_op") != "delete")
+    edges = [orphans.Edge("order_messages", "order_messages", to_self, to_self.limit(0)), orphans.Edge("order_messages", "product_feed", to_product, orphans.missing_then(to_product, alive))]
+    return orphans.cascade(edges).groupBy("parent", "kind", "depth").agg(F.count("*").alias("n"))
+
+
 
 def _timed(spark: SparkSession, d: str, *more: str) -> DataFrame:
     parts = [tables(spark, d, t).select(F.lit(t).alias("src"), "msg_offset", "batch_id", F.unix_micros(c).alias("us"), *more) for t, c in _TIMES.items()]
@@ -140,7 +171,7 @@ w as (select src, batch_id, max(us) over (partition by src order by batch_id row
 j as (select m.*, us - us % {HOUR_US} as hour_us, coalesce(us - us % {HOUR_US} + {HOUR_US} <= wm, false) as late from m join w using (src, batch_id) where us is not null)"""
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p1_gap_settings, p2_found, p2_unique_orders, p4_found, p4_rolling, p5_found, p5_report, p7_found, p7_counts, p7_order_values)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p1_gap_settings, p2_found, p2_unique_orders, p4_found, p4_rolling, p5_found, p5_report, p5_inherited, p5_two_keys, p5_self_reference, p7_found, p7_counts, p7_order_values)}
 
 ORACLES = {
     "p1_found": f"{_SESSIONS.format(gap=INACTIVE_US)} select user_id, min(us) as start_us, max(us) as end_us from s group by user_id, k",
@@ -163,6 +194,23 @@ select user_id, strftime(day, '%Y-%m-%d') as order_day, cast(n_orders as bigint)
     "p5_found": f"{_ORPHANS} select distinct src_table, record_id, ref_id from direct",
     "p5_report": f"""{_ORPHANS}, heirs as (select 'delivery_messages' as src_table, d.* from deliveries d where d.record_id is not null and d.ref_id in (select record_id from bad_orders)),
 refs as (select distinct src_table, record_id, ref_id, strftime("at" at time zone 'UTC', '%Y-%m-%d') as day, kind from (select *, 'direct' as kind from direct union all select *, 'inherited' from heirs))
+    "p5_inherited": f"""{_ORPHANS} select distinct 'delivery_messages' as src_table, record_id, ref_id, 1::int as depth from deliveries
+where record_id is not null and ref_id in (select record_id from bad_orders)""",
+    "p5_two_keys": f"""{_ORPHANS}, users as (select distinct {_U} as user_id from activity_log), u as (select distinct nullif(lower(trim(order_id)), '') as record_id, {_U} as ref_id from order_messages),
+bad_users as (select * from u where record_id is not null and ref_id is not null and ref_id not in (select user_id from users where user_id is not null)),
+bad as (select record_id from bad_orders union select record_id from bad_users),
+heirs as (select distinct record_id, ref_id from deliveries where record_id is not null and ref_id in (select record_id from bad))
+select 'order_messages' as src_table, 'product_feed' as parent, 'direct' as kind, 0::int as depth, count(distinct (record_id, ref_id)) as n from bad_orders having n > 0
+union all select 'order_messages', 'activity_log', 'direct', 0, count(distinct (record_id, ref_id)) as n from bad_users having n > 0
+union all select 'delivery_messages', 'order_messages', 'direct', 0, count(distinct (record_id, ref_id)) as n from bad_deliveries having n > 0
+union all select 'delivery_messages', 'order_messages', 'inherited', 1, count(distinct (record_id, ref_id)) as n from heirs having n > 0""",
+    "p5_self_reference": f"""with recursive l as (select *, row_number() over (partition by user_id, hour order by msg_offset) as k from (select {_U} as user_id, nullif(lower(trim(product_id)), '') as ref_id, msg_offset,
+  order_time as "at", epoch_us(order_time) // {HOUR_US} as hour from order_messages where {_U} is not null and order_time is not null and msg_offset is not null)),
+feed as (select nullif(lower(trim(product_id)), '') as ref_id, event_time, max(case when change_op = 'delete' then 1 else 0 end) as dead from product_feed group by 1, 2),
+bad as (select l.user_id, l.hour, l.k from l asof left join feed f on l.ref_id = f.ref_id and l."at" >= f.event_time where l.ref_id is not null and coalesce(f.dead, 1) = 1),
+c as (select *, 0 as depth from bad union all select l.user_id, l.hour, l.k, c.depth + 1 from c join l on l.user_id = c.user_id and l.hour = c.hour and l.k > 1 and l.k // 2 = c.k),
+h as (select user_id, hour, k, min(depth) as depth from c where depth > 0 group by 1, 2, 3)
+select 'product_feed' as parent, 'direct' as kind, 0::int as depth, count(*) as n from bad having n > 0 union all select 'order_messages', 'inherited', depth::int, count(*) from h group by 3""",
 select src_table, day, count(*) filter (kind = 'direct') as n_direct, count(*) filter (kind = 'inherited') as n_inherited from refs group by 1, 2""",
     "p7_found": f"{_late_sql()} select distinct src as src_table, msg_offset from j where late",
     "p7_counts": f"{_late_sql()} select src as src_table, hour_us, count(*) as n from j where not late group by 1, 2",
