@@ -135,8 +135,8 @@ def message_keys(df: DataFrame, src: str, record_id: Column) -> DataFrame:
 
 
 def first_copies(df: DataFrame, record_id: Column) -> DataFrame:
-    """One row per non-null identifier, that of the smallest msg_offset, as a partial aggregate; rows with a null identifier cannot be told apart and all stay."""
-    rows = df.select(record_id.alias("id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    order = F.struct(F.col("row.msg_offset").isNull(), F.col("row.msg_offset"))
-    kept = rows.where("id is not null").groupBy("id").agg(F.min_by("row", order).alias("row")).select("row.*")
-    return kept.unionByName(rows.where("id is null").select("row.*"))
+    """One row per non-null identifier, that of the smallest msg_offset, as a partial aggregate; rows with a null identifier cannot be told apart and all stay, each under a number of its own."""
+    own = F.when(record_id.isNull(), F.monotonically_increasing_id())
+    rows = df.select(record_id.alias("id"), own.alias("own"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    order = F.coalesce(F.col("row.msg_offset"), F.lit(_LAST))
+    return rows.groupBy("id", "own").agg(F.min_by("row", order).alias("row")).select("row.*")
