@@ -17,8 +17,8 @@ LATENESS_US = 6 * HOUR_US
 _TIMES = {"activity_log": "event_time", "order_messages": "order_time", "delivery_messages": "delivery_time"}
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
-    return gap_tree.gap_tree(tables(spark, d, "activity_log"), norm_id("user_id"), F.unix_micros("event_time"))
+def _tree(spark: SparkSession, d: str, record_id: str | None = None) -> DataFrame:
+    return gap_tree.gap_tree(tables(spark, d, "activity_log"), norm_id("user_id"), F.unix_micros("event_time"), record_id and F.col(record_id))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,9 +26,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_sessions(spark: SparkSession, d: str) -> DataFrame:
-    events = tables(spark, d, "activity_log")
-    met = gap_tree.count_ids(events, gap_tree.cut(_tree(spark, d), INACTIVE_US), norm_id("user_id"), F.unix_micros("event_time"), F.col("id"))
-    return met.select(F.col("entity").alias("user_id"), "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"), "n_ids")
+    met = gap_tree.cut(_tree(spark, d, "id"), INACTIVE_US)
+    return met.select(F.col("entity").alias("user_id"), "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"), F.col("n_events").alias("n_ids"))
 
 
 def p1_gap_settings(spark: SparkSession, d: str) -> DataFrame:

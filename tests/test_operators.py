@@ -29,7 +29,7 @@ def test_gap_tree_matches_sessions_for_any_threshold(spark, seed):
     rows = [("hot", rng.randrange(-3000, 3000)) for _ in range(300)] + [(f"u{rng.randrange(9)}", rng.randrange(0, 2000, 5)) for _ in range(200)]
     rows += rows[:40] + [(None, 5), ("u1", None), ("one", 7)]
     df = spark.createDataFrame(rows, "who string, height_us long").withColumn("cell", F.lit("clash"))
-    tree = gap_tree.gap_tree(df, F.col("who"), F.col("height_us"), cell_us=[40, 500, 10**6, 7][seed]).persist()
+    tree = gap_tree.gap_tree(df, F.col("who"), F.col("height_us"), cell_us=[40, 500, 10**6, 7][seed], hot_rows=[100, 5, 10**6, 20][seed]).persist()
     by_user = defaultdict(list)
     for who, t in rows:
         if who is not None and t is not None:
@@ -41,49 +41,70 @@ def test_gap_tree_matches_sessions_for_any_threshold(spark, seed):
     assert {r["entity"]: r["n_events"] for r in whole.collect()} == {u: len(set(ts)) for u, ts in by_user.items()}
 
 
-def test_enclosing_gaps_with_ties():
-    before, after, first, last = gap_tree.enclosing([3, 5, 3, 3, 5, 1])
-    assert [(b, a) for b, a, f in zip(before, after, first) if f] == [(-1, 1), (-1, 6), (1, 4), (4, 6)]
-    assert first == [True, True, True, False, False, True] and last == [True, False, False, True, True, True]
+def segments(rows, entity="a"):
+    """Leaves (cell, time) as the walk takes them."""
+    names = ["entity", "cell", "start_us", "end_us", "n_events", "height_us", "state"]
+    return pa.table({n: pa.array([(entity, c, t, t, 1, 0, 1)[i] for c, t in rows], [pa.string(), *[pa.int64()] * 5, pa.int32()][i]) for i, n in enumerate(names)})
+
+
+def walked(rows, last_step, most, size=3):
+    parts = list(gap_tree.walk(iter(rows.to_batches(max_chunksize=size)), last_step, most))
+    return [tuple(r.values()) for part in parts for r in part.to_pylist()]
+
+
+def test_nodes_of_ties():
+    gaps, times = [3, 5, 3, 3, 5, 1], [0]
+    for g in gaps:
+        times.append(times[-1] + g)
+    closed, rest = gap_tree.tree(segments([(0, t) for t in times]), last_step=True)
+    inner = sorted((r["start_us"], r["end_us"], r["height_us"], r["parent_us"]) for r in closed.to_pylist() if r["height_us"])
+    assert inner == [(0, 3, 3, 5), (0, 20, 5, None), (8, 14, 3, 5), (19, 20, 1, 5)] and rest.num_rows == 0 and closed.num_rows == 4 + 7
 
 
 @pytest.mark.parametrize("seed,most", [(0, 4), (1, 7), (2, 50), (3, 4), (4, 3)])
 def test_long_groups_are_contracted(seed, most):
     rng = random.Random(seed)
     times = sorted(rng.sample(range(4000), 300)) if seed % 2 else sorted({k * 10 for k in range(200)} | {rng.randrange(2000) for _ in range(40)})
-
-    def walk(last_step, rows):
-        w = gap_tree._Walk(last_step, most)
-        names = ["entity", "cell", "start_us", "end_us", "n_events", "height_us", "state"]
-        w.feed(pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows]))
-        w.close()
-        return list(zip(*w.out.columns))
-
-    first = walk(False, [("a", t // 900, t, t, 1, 0, 1) for t in times])
-    rest = sorted((r for r in first if r[6] != 0), key=lambda r: r[1:3])
-    nodes = [r for r in first if r[6] == 0] + walk(True, [(r[0], 0, r[1], r[2], r[3], r[4], r[6]) for r in rest])
+    first = walked(segments([(t // 900, t) for t in times]), False, most)
+    rest = sorted((r for r in first if r[7] != 0), key=lambda r: r[2:4])
+    assert len(rest) < len(times) / 2
+    table = pa.table({n: pa.array([r[i] for r in rest], pa.string() if n == "entity" else pa.int32() if n == "state" else pa.int64()) for i, n in enumerate(gap_tree.NAMES) if n != "parent_us"})
+    table = table.set_column(1, "cell", pa.array([0] * len(rest), pa.int64()))
+    nodes = [r for r in first if r[7] == 0] + walked(table, True, most)
     for gap in (0, 1, 3, 9, 10, 11, 30, 5000):
         got = sorted((r[1], r[2]) for r in nodes if r[4] <= gap and (r[5] is None or r[5] > gap))
         assert got == sessions(times, gap)
 
 
 def test_even_gaps_contract():
-    segments = [(10 * k, 10 * k, 1, 0, 1) for k in range(1000)]
-    assert len(gap_tree._tree(gap_tree._Rows(), "a", segments, last_step=False)) == 3
+    closed, rest = gap_tree.tree(segments([(0, 10 * k) for k in range(1000)]), last_step=False)
+    assert rest.num_rows == 3 and rest.column("n_events").to_pylist() == [1, 998, 1]
+
+
+@pytest.mark.parametrize("shape", ["falling", "rising", "saw"])
+def test_gaps_that_are_far_from_their_larger_ones(shape):
+    n = 20_000
+    gaps = {"falling": range(n, 0, -1), "rising": range(1, n + 1), "saw": [k % 100 * 1000 + k // 100 for k in range(1, n)]}[shape]
+    times = [0]
+    for g in gaps:
+        times.append(times[-1] + g)
+    rows = walked(segments([(0, t) for t in times]), True, 10**6, 10**5)
+    for gap in (0, 1, 999, 5000, 10**6):
+        assert sorted((r[2], r[3]) for r in rows if r[5] <= gap and (r[6] is None or r[6] > gap)) == sessions(times, gap)
 
 
-def test_session_ids_count_once(spark):
-    rows = [("a", 0, 1), ("a", 0, 1), ("a", 10, 2), ("a", 10, None), ("a", 20, 1), ("a", 500, 1), (None, 0, 3)]
+@pytest.mark.parametrize("hot_rows", [2, 1000])
+def test_session_events_count_once(spark, hot_rows):
+    rows = [("a", 0, 1), ("a", 0, 1), ("a", 10, 2), ("a", 10, None), ("a", 20, 3), ("a", 500, 4), ("a", 600, None), (None, 0, 3)]
     df = spark.createDataFrame(rows, "u string, t long, id int")
-    cut = gap_tree.cut(gap_tree.gap_tree(df, F.col("u"), F.col("t"), 15), 10)
-    got = gap_tree.count_ids(df, cut, F.col("u"), F.col("t"), F.col("id"), 15).collect()
-    assert sorted((r["start_us"], r["end_us"], r["n_ids"]) for r in got) == [(0, 20, 2), (500, 500, 1)]
+    cut = gap_tree.cut(gap_tree.gap_tree(df, F.col("u"), F.col("t"), F.col("id"), 15, hot_rows), 10)
+    assert sorted((r["start_us"], r["end_us"], r["n_events"]) for r in cut.collect()) == [(0, 20, 3), (500, 500, 1), (600, 600, 0)]
 
 
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "u string, t long, id int, msg_offset long, arrival_us long, src string, batch_id long, us long, d date, amount double")
     tree = gap_tree.gap_tree(df, F.col("u"), F.col("t"))
-    assert tree.count() == 0 and gap_tree.count_ids(df, tree, F.col("u"), F.col("t"), F.col("id")).count() == 0
+    assert tree.count() == 0 and gap_tree.gap_tree(df, F.col("u"), F.col("t"), F.col("id")).count() == 0
     assert repeats.repeats(df.withColumn("id", F.col("u"))).count() == 0
     assert rolling.trailing(rolling.daily(df, F.col("u"), F.col("d"), F.col("amount"))).count() == 0
     assert late.judged(df).count() == 0 and late.derive(late.multiset(df, ["u"], "amount"), ["u"]).count() == 0
