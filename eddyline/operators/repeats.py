@@ -10,10 +10,11 @@ An identifier that a third of all rows carry becomes one stored entry per bucket
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,59 +70,85 @@ class Bloom:
         return found
 
 
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (src, bucket, id, h, first_offset) sorted by src and bucket -> those that an earlier bucket's filter may hold, one row per such bucket."""
-    filters: dict[tuple, Bloom] = {}
-    held: list[pa.RecordBatch] = []
-    key = None
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        hashes = rows.column("h").to_numpy().view(np.uint64)
-        for (src, bucket), bloom in filters.items():
-            if src == key[0]:
-                match = np.flatnonzero(bloom.may_hold(hashes))
-                if len(match):
-                    found = rows.select(["src", "bucket", "id", "first_offset"]).take(pa.array(match))
-                    yield from found.append_column("match_bucket", pa.array(np.full(len(match), bucket, np.int64))).to_batches()
-        filters[key] = bloom = Bloom(len(hashes))
-        bloom.add(hashes)
-        held.clear()
-
-    for batch in batches:
-        src, bucket = batch.column("src").to_pylist(), batch.column("bucket").to_numpy(zero_copy_only=False)
-        start = 0
-        while start < len(src):
-            now = src[start], int(bucket[start])
-            end = start + int(np.argmin(np.append(bucket[start:] == now[1], False)))
-            while src[end - 1] != now[0]:  # the same bucket of the next table
-                end -= 1
-            if now != key:
-                yield from close()
-                key = now
-            held.append(batch.slice(start, end - start))
-            start = end
-    yield from close()
+class SlicedBlooms:
+    """Bloom filters of many time buckets, of one size and stored bit by bit: the word at a place has a bit for each of 64 buckets, so the words of an identifier's places tell at once
+    which of 64 buckets may hold it. A bucket of more than n identifiers only has more false positives."""
+
+    def __init__(self, n: int) -> None:
+        self.size, self.words = 1 << max(6, int(n * _BITS_PER_ID - 1).bit_length()), []
+
+    def _places(self, hashes: np.ndarray) -> list[np.ndarray]:
+        step = (hashes >> np.uint64(32)) | np.uint64(1)
+        return [((hashes + np.uint64(i) * step) & np.uint64(self.size - 1)).astype(np.int64) for i in range(_PROBES)]
+
+    def screen(self, hashes: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (index of a hash, earlier bucket that may hold it); then the hashes are in the bucket, too. Buckets are numbered from 0 as they come."""
+        while len(self.words) <= bucket // 64:
+            self.words.append(np.zeros(self.size, np.uint64))
+        places, own = self._places(hashes), np.uint64(1 << bucket % 64)
+        found, buckets = [], []
+        for w, words in enumerate(self.words):
+            held = words[places[0]]
+            for place in places[1:]:
+                held &= words[place]
+            if w == bucket // 64:
+                held &= own - np.uint64(1)
+            some = np.flatnonzero(held)
+            for bit in range(64) if len(some) else ():
+                hit = some[(held[some] >> np.uint64(bit)) & np.uint64(1) == 1]
+                found.append(hit)
+                buckets.append(np.full(len(hit), 64 * w + bit))
+        words = self.words[bucket // 64]
+        for place in places:
+            words[place] |= own  # repeated places get the same bit
+        return np.concatenate([np.zeros(0, np.int64), *found]), np.concatenate([np.zeros(0, np.int64), *buckets])
+
+
+def _screen(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (src, bucket, id, h, first_offset) sorted by src and bucket -> those that an earlier bucket's filter may hold, one row per such bucket. n: identifiers a bucket of a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blooms, names, src = SlicedBlooms(n), [], None
+        for batch in batches:
+            sources, buckets = batch.column("src"), batch.column("bucket").to_numpy(zero_copy_only=False)
+            hashes = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+            new = pc.not_equal(sources.slice(1), sources.slice(0, max(0, len(sources) - 1))).to_numpy(zero_copy_only=False) | (buckets[1:] != buckets[:-1])
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(buckets)] if len(buckets) else []
+            for low, high in zip(edges, edges[1:]):
+                if sources[low].as_py() != src:
+                    blooms, names, src = SlicedBlooms(n), [], sources[low].as_py()
+                if not names or names[-1] != buckets[low]:
+                    names.append(int(buckets[low]))
+                index, match = blooms.screen(hashes[low:high], len(names) - 1)
+                if len(index):
+                    rows = batch.select(["src", "bucket", "id", "first_offset"]).take(pa.array(low + index))
+                    yield rows.append_column("match_bucket", pa.array(np.array(names)[match]))
+
+    return run
 
 
 def repeats(messages: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
     """messages: src, id (normalised), msg_offset, arrival_us. Returns the surplus rows (src, id, msg_offset, surplus): all but one copy of each identifier.
 
-    bucket_us: width of a time bucket; one Bloom filter per bucket and shard has 16 bits an identifier of the bucket."""
+    bucket_us: width of a time bucket; the filters of a shard have 16 bits or more for each identifier of its largest bucket, and as many for each other bucket."""
     rows = messages.where("id is not null").select(
         "src", "id", F.coalesce("msg_offset", F.lit(_LAST)).alias("msg_offset"), F.coalesce(floor_to(F.col("arrival_us"), bucket_us), F.lit(-_LAST)).alias("bucket")
     )
     stored = rows.groupBy("src", "id", "bucket").agg(F.min("msg_offset").alias("first_offset"), F.count("*").alias("n"))
     stored = cut_lineage(stored, keep_partitioning=True)
+    shards = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    largest = stored.groupBy("src", "bucket").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     hashed = stored.select("src", "bucket", "id", F.xxhash64("id").alias("h"), "first_offset")
-    shards = hashed.repartition("h").sortWithinPartitions("src", "bucket")
-    possible = shards.mapInArrow(_screen, "src string, bucket long, id string, first_offset long, match_bucket long")
+    sharded = hashed.repartition(shards, "h").sortWithinPartitions("src", "bucket")
+    possible = sharded.mapInArrow(_screen(-(-largest // shards)), "src string, bucket long, id string, first_offset long, match_bucket long")
     match = stored.select("src", "id", F.col("bucket").alias("match_bucket"), F.col("first_offset").alias("match_offset"))
     verified = match.join(possible, ["src", "id", "match_bucket"])
-    keep = verified.groupBy("src", "id").agg(F.least(F.min("first_offset"), F.min("match_offset")).alias("all_first"))
-    copied = stored.join(keep, ["src", "id"], "left").where("n > 1 or all_first is not null")
+    # an identifier's verified pairs name all of its buckets, so the store is asked by bucket again and stays where it is
+    places = F.explode(F.array("bucket", "match_bucket")).alias("bucket")
+    first = F.least("first_offset", "match_offset").alias("first_offset")
+    keep = verified.select("src", "id", places, first).groupBy("src", "id").agg(F.min("first_offset").alias("all_first"), F.collect_set("bucket").alias("buckets"))  # at most the time buckets
+    across = keep.select("src", "id", F.explode("buckets").alias("bucket"), "all_first")
+    copied = stored.join(across, ["src", "id", "bucket"], "left").where("n > 1 or all_first is not null")
     copied = copied.select("src", "id", "bucket", F.coalesce("all_first", "first_offset").alias("keep_offset"))
     met = rows.join(copied, ["src", "id", "bucket"])
     counted = met.groupBy("src", "id", "msg_offset", "keep_offset").agg(F.count("*").alias("n"))

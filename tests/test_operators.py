@@ -72,7 +72,7 @@ def test_long_groups_are_contracted(seed, most):
     table = table.set_column(1, "cell", pa.array([0] * len(rest), pa.int64()))
     nodes = [r for r in first if r[7] == 0] + walked(table, True, most)
     for gap in (0, 1, 3, 9, 10, 11, 30, 5000):
-        got = sorted((r[1], r[2]) for r in nodes if r[4] <= gap and (r[5] is None or r[5] > gap))
+        got = sorted((r[2], r[3]) for r in nodes if r[5] <= gap and (r[6] is None or r[6] > gap))
         assert got == sessions(times, gap)
 
 
@@ -141,6 +141,20 @@ def test_bloom_has_no_false_negatives_and_few_false_positives():
         assert bloom.may_hold(inside).all() and bloom.may_hold(outside).mean() < 0.005
 
 
+def test_sliced_blooms():
+    rng = np.random.default_rng(2)
+    blooms, inside, false = repeats.SlicedBlooms(500), [], 0
+    for k in range(150):
+        hashes = rng.integers(0, 2**63, 500).astype(np.uint64)
+        again = inside[k // 2][:20] if k else hashes[:0]
+        index, match = blooms.screen(np.concatenate([hashes, again]), k)
+        pairs = set(zip(index.tolist(), match.tolist()))
+        assert all((500 + i, k // 2) in pairs for i in range(len(again))) and all(m < k for _, m in pairs)
+        false += sum(i < 500 for i, _ in pairs)
+        inside.append(hashes)
+    assert false < 0.003 * 500 * 150 * 75
+
+
 def test_first_copies(spark):
     rows = [("A", 5, 1.0), (" a", 3, 2.0), (None, 1, 3.0), (None, 2, 3.0), ("b", None, 4.0), ("b", 9, 5.0)]
     df = spark.createDataFrame(rows, "id string, msg_offset long, row double")
@@ -161,7 +175,11 @@ def test_rolling(spark):
         days = [day for v, day, _ in rows if v == u and day]
         want |= {(u, min(days) + dt.timedelta(days=k)) for k in range((max(days) - min(days)).days + 30)}
     assert set(got) == want
+    active = {(v, t) for v, t, _ in rows}
     for (u, day), row in got.items():
+        if u == "old" and not any((u, day - dt.timedelta(days=k)) in active for k in range(30)):
+            assert (row["n_rows"], row["rows_30"], row["total_30"], row["average_30"]) == (0, 0, 0.0, None)
+            continue
         for d in (7, 30):
             inside = [x for v, t, x in rows if v == u and t and 0 <= (day - t).days < d]
             values = [x for x in inside if x is not None and x == x]
@@ -182,7 +200,6 @@ def test_orphans(spark):
     ]
     got = sorted((r["src_table"], r["record_id"], r["ref_id"], r["kind"], r["depth"]) for r in orphans.cascade(edges).collect())
     assert got == [("deliveries", "d2", "o9", "direct", 0), ("deliveries", "d3", "o3", "inherited", 1), ("orders", "o2", "p1", "direct", 0), ("orders", "o3", "p2", "direct", 0), ("orders", "o7", "p2", "direct", 0)]
-    active = {(v, t) for v, t, _ in rows}
 
 
 def _edge(spark, child, parent, rows, lost):
