@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eddyline.operators.hop import snap
 from eddyline.plans.pipeline import Pipeline
+from eddyline.session import checkpoint_dir
 from eddyline.time_notion import EventTimeNotion
 
 
@@ -39,12 +42,28 @@ def evaluate(
     return found
 
 
-def emissions(df: DataFrame) -> list[DataFrame]:
-    """The result per window_end in rising order, rows without one last, or as a whole if it has none; nothing for an empty result. The number of windows is that of the range, not of the data."""
-    if "window_end" not in df.columns:
-        return [] if df.isEmpty() else [df]
-    ends = [r["window_end"] for r in df.select("window_end").distinct().orderBy(F.col("window_end").asc_nulls_last()).collect()]
-    return [df.where(df["window_end"].eqNullSafe(e)) for e in ends]
+def emissions(df: DataFrame) -> Iterator[DataFrame]:
+    """The result per window_end in rising order, rows without one last, or as a whole if it has none; nothing for an empty result. The number of windows is that of the range, not of the data.
+
+    The result is computed once, into a table in the shared folder with a partition per window, from which each window is read alone; it is removed when all windows have been taken, so
+    a sink must have written when its write() returns. The order of a sorted result is kept."""
+    spark, timed = df.sparkSession, "window_end" in df.columns
+    path = f"{checkpoint_dir(spark)}/emission-{uuid.uuid4().hex}"
+    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
+    window = F.col("window_end").cast("string") if timed else F.lit("all")
+    df.select(*named, F.monotonically_increasing_id().alias("position"), window.alias("window")).write.partitionBy("window").parquet(path)
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)]
+    stored = spark.read.schema(T.StructType([*fields, T.StructField("position", T.LongType()), T.StructField("window", T.StringType())])).parquet(path)
+    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]
+    is_sorted = df._jdf.queryExecution().analyzed().nodeName() == "Sort"
+    try:
+        end = F.col(f"c{df.columns.index('window_end')}") if timed else F.lit(None)
+        for row in stored.select("window", end.alias("end")).distinct().orderBy(F.col("end").asc_nulls_last()).collect():
+            part = stored.where(F.col("window").eqNullSafe(F.lit(row["window"])))
+            yield (part.orderBy("position") if is_sorted else part).select(*back)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 __all__ = ["emissions", "evaluate", "final_watermark", "snap"]

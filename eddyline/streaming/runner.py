@@ -200,10 +200,8 @@ class Runner:
         else:
             result = self.pipeline.dataframe(self.spark, output, tables)
         p.records, p.fires = 0, p.fires + 1
-        result = result.persist()
         for part in emissions(result):
             self.sinks[output].write(part)
-        result.unpersist()
 
     # -- retention
 

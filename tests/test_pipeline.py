@@ -448,3 +448,31 @@ def test_native_keeps_the_declaration(spark, tmp_path):
     native.start(spark, app, "out", {"events": FileSource(str(tmp_path / "in")).read_stream(spark, 1)}, sink, str(tmp_path / "c")).awaitTermination()
     assert sorted((r["user_id"], r["ids"]) for b in sink.batches for r in b) == [("a", 1), ("nobody", 7)]
     assert app.sources["events"].schema is Loose
+
+
+def test_emissions_keep_names_types_and_order(spark):
+    from eddyline.plans.batch import emissions
+
+    df = spark.sql("SELECT a AS `count(1)`, STRUCT(a, 'x') AS `s.t`, MAP('k', a) AS m, w AS window_end FROM VALUES (3, 2.5D), (1, 10D), (2, 2.5D), (9, NULL) AS t(a, w) ORDER BY a DESC")
+    parts = [p.collect() for p in emissions(df)]
+    assert [[r[0] for r in p] for p in parts] == [[3, 2], [1], [9]] and parts[0][0]["s.t"]["col2"] == "x" and parts[0][0]["m"] == {"k": 3}
+    assert [p.columns for p in emissions(df)] == [df.columns] * 3
+    assert [p.count() for p in emissions(spark.range(5))] == [5] and not list(emissions(df.limit(0)))
+
+
+def test_windows_are_computed_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x: int) -> int:
+        seen.add(1)
+        return x
+
+    app = Pipeline()
+    app.source("events", schema=Event, ts_col="event_time")
+    app.output("out", COUNT).trigger(window=M(10))
+    rows = frame(spark, Event, B1).withColumn("id", F.udf(look, "int")("id")).where("id > 0")
+    sink = FakeSink()
+    Runtime(spark, app, {"events": rows}, {"out": sink}).execute_bounded(at("10:00"), at("10:20"))
+    assert [b[0]["cnt"] for b in sink.batches] == [2, 2] and seen.value <= 2 * len(B1)
