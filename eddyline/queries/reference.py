@@ -283,25 +283,24 @@ _add("full_join", "SELECT COALESCE(a.k, b.k) AS k, a.n AS customers, b.n AS supp
 _add("cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 _add("star_join", "SELECT r_name, c_mktsegment, COUNT(*) AS n, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, c_mktsegment")
 _add("self_join_diamond", "SELECT a.user_id, a.n, b.largest FROM (SELECT user_id, COUNT(*) AS n FROM paid GROUP BY user_id) a JOIN (SELECT user_id, MAX(value) AS largest FROM events GROUP BY user_id) b ON a.user_id = b.user_id", "with paid as (select * from events where value > 0) select a.user_id, a.n, b.largest from (select user_id, count(*) as n from paid group by user_id) a join (select user_id, max(value) as largest from events group by user_id) b on a.user_id = b.user_id", views={"paid": "SELECT * FROM events WHERE value > 0"})
-_add(
+_LAST = "LAST_VALUE(CASE WHEN event_type = 'purchase' THEN event_id END{inside}){outside} OVER (PARTITION BY user_id ORDER BY ts, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_add(  # the last purchase of the same user at or before each other event: one shuffle and a running last value, no range join
     "asof_join",
-    "SELECT e.event_id, MAX_BY(p.event_id, STRUCT(p.ts, p.event_id)) AS last_purchase FROM events e JOIN events p ON e.user_id = p.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts WHERE e.event_type <> 'purchase' GROUP BY e.event_id",
+    f"SELECT event_id, last_purchase FROM (SELECT event_id, event_type, {_LAST.format(inside='', outside=' IGNORE NULLS')} AS last_purchase FROM events) WHERE event_type <> 'purchase' AND last_purchase IS NOT NULL",
     "select event_id, last_purchase from (select e.event_id, p.event_id as last_purchase, row_number() over (partition by e.event_id order by p.ts desc, p.event_id desc) as rn from events e join events p on e.user_id = p.user_id and p.event_type = 'purchase' and p.ts <= e.ts where e.event_type <> 'purchase') where rn = 1",
 )
-
-
-def asof_join(spark: SparkSession, d: str) -> DataFrame:
-    """The last purchase of the same user at or before each other event: one shuffle and a running last value, no range join."""
-    from pyspark.sql import Window
-
-    events = tables(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
-    bought = F.col("event_type") == "purchase"
-    order = Window.partitionBy("user_id").orderBy("ts", F.when(bought, 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(bought, F.col("event_id")), ignorenulls=True).over(order)
-    return events.withColumn("last_purchase", last).where(~bought & F.col("last_purchase").isNotNull()).select("event_id", "last_purchase")
-
-
-QUERIES["asof_join"] = asof_join
+_add(
+    "interval_join",
+    "SELECT a.event_id, b.event_id AS soon_after FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1' HOUR",
+    "select a.event_id, b.event_id as soon_after from events a join events b on a.user_id = b.user_id and b.ts > a.ts and b.ts <= a.ts + interval 1 hour",
+)
+_add("lateral_join", "SELECT n_name, c.richest FROM nation, LATERAL (SELECT MAX(c_acctbal) AS richest FROM customer WHERE c_nationkey = n_nationkey) c")
+_add(
+    "hop_join_table",
+    "SELECT c_mktsegment, window_end, COUNT(*) AS n FROM HOP('events', 'ts', INTERVAL '1 day') e JOIN customer c ON e.user_id = c.c_custkey GROUP BY c_mktsegment, window_end",
+    f"select c_mktsegment, window_end, count(*) as n from {_windows('events', 'ts', 24, 24)} e join customer c on e.user_id = c.c_custkey group by all",
+    DAY,
+)
 _GROUPED = "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS quantity FROM lineitem GROUP BY"
 _add("rollup", f"{_GROUPED} ROLLUP (l_returnflag, l_linestatus)")
 _add("cube", f"{_GROUPED} CUBE (l_returnflag, l_linestatus)")
@@ -335,12 +334,18 @@ _add("documents_by_source", "SELECT source, COUNT(*) AS n, CAST(SUM(LENGTH(text)
 ORACLES["documents_by_source"] = ORACLES["documents_by_source"].replace("MAX(LENGTH(text))", "CAST(MAX(LENGTH(text)) AS INTEGER)")
 
 
-def session_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Spark's own session windows, batch or streaming."""
-    grouped = tables(spark, d, "events").groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n"))
-    return grouped.select("user_id", F.col("w.start").alias("session_start"), "n")
-
-
-QUERIES["session_windows"] = session_windows
-ORACLES["session_windows"] = """with g as (select user_id, ts, case when ts - lag(ts) over w < interval 2 hour then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
-s as (select *, sum(new) over (partition by user_id order by ts) as k from g) select user_id, min(ts) as session_start, count(*) as n from s group by user_id, k"""
+_add(
+    "session_windows",
+    "SELECT user_id, session_window.start AS session_start, COUNT(*) AS n FROM events GROUP BY user_id, SESSION_WINDOW(ts, '2 hours')",
+    """with g as (select user_id, ts, case when ts - lag(ts) over w < interval 2 hour then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
+s as (select *, sum(new) over (partition by user_id order by ts) as k from g) select user_id, min(ts) as session_start, count(*) as n from s group by user_id, k""",
+)
+_add("map_fns", "SELECT event_id, m['a'] AS a, CAST(SIZE(m) AS BIGINT) AS n, ARRAY_JOIN(MAP_KEYS(m), '|') AS ks FROM (SELECT event_id, MAP('a', value, 'b', user_id) AS m FROM events)", "select event_id, m['a'] as a, cardinality(m)::bigint as n, array_to_string(map_keys(m), '|') as ks from (select event_id, map {'a': value, 'b': user_id::double} as m from events)")
+_add(  # approximate answers differ from engine to engine: they must lie near the exact ones
+    "approximate_aggregates",
+    """SELECT event_type, ABS(APPROX_COUNT_DISTINCT(user_id, 0.02) - COUNT(DISTINCT user_id)) <= 0.1 * COUNT(DISTINCT user_id) AS distinct_near,
+PERCENTILE_APPROX(value, 0.5, 10000) BETWEEN PERCENTILE(value, 0.49) - 0.01 AND PERCENTILE(value, 0.51) + 0.01 AS median_near, COUNT(*) AS n FROM events GROUP BY event_type""",
+    "select event_type, true as distinct_near, true as median_near, count(*) as n from events group by event_type",
+)
+_add("union_by_sets", "SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT ALL SELECT user_id FROM events WHERE event_type = 'error'")
+_add("except_all_rows", "SELECT user_id FROM events WHERE event_type = 'click' EXCEPT ALL SELECT user_id FROM events WHERE event_type = 'error'")
