@@ -12,13 +12,17 @@ deduplicated by digest; what follows only narrows down to exact positions, and e
 
 Digests travel as packed arrays per (bucket of digests, pack of documents), each digest at most once a pack, so a digest that a third of all documents hold costs one entry a pack.
 Texts are kept once as compressed packs in the checkpoint folder, partitioned by pack; only digests are shuffled afterwards. Documents over part_chars are handled in parts
-that overlap by 249 characters. Digests are 64 bits of two polynomial hashes.
+that overlap by 249 characters. From step 3 on only documents in which something may be shared are looked at again.
 
-Null ids and texts are left out; texts shorter than the span have no spans. Rows that repeat an id count as the same document.
+Digests come from two 64-bit polynomial hashes. Those that decide the result, of stretches and windows, have 80 bits, so among 10^12 of them less than one pair of different texts is
+expected to be taken for the same; the others only narrow down and have 48 bits.
+
+Null ids and texts are left out; texts shorter than the span have no spans. Rows that repeat an id count as the same document. Ids that are not whole numbers go by their 64-bit hash.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -28,13 +32,18 @@ import pyarrow.compute
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from eddyline.session import cut_lineage
 
 GEAR = 32
+BUCKET_BYTES = 16 << 20
 _U = np.uint64
 _MANY = 65535
 _CHUNK, _CORE, _STRETCH, _WINDOW, _OPEN = range(5)
+_PLAIN, _CHECKED, _ALIVE = range(3)  # kinds of packed arrays
+_PART = ~_U(0xFFFF)  # the part of a plain digest that is used
+_MOST_BUCKETS = 16_384
 _SEEDS = tuple(_U(x) for x in (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1))
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
@@ -46,12 +55,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=2)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """At least n powers of the base and of its inverse modulo 2^64; those of the largest block so far are kept."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _POWERS[base]
 
 
 @lru_cache(maxsize=1)
@@ -87,8 +100,13 @@ class Block:
         self._cut(g)
 
     def digest(self, start: np.ndarray, end: np.ndarray, kind: int) -> np.ndarray:
+        return self.checked(start, end, kind)[0]
+
+    def checked(self, start: np.ndarray, end: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Digests, and 16 further bits of the same hashes."""
         first, second = ((p[end] - p[start]) * d[start] for p, d in zip(self.prefix, self.down))
-        return _mix(_mix(first + _U(kind)) ^ (second * _SEEDS[3]))
+        further = (_mix(second + _U(kind)) + first * _SEEDS[1]) >> _U(48)
+        return _mix(_mix(first + _U(kind)) ^ (second * _SEEDS[3])), further.astype(np.uint16)
 
     def _cut(self, g: np.ndarray) -> None:
         """Runs of positions x with the same place of the least gear hash among those starting at x .. x + reach - 1 (the leftmost of equals); cuts: the places that lie in one document."""
@@ -128,7 +146,7 @@ class Block:
         return self.digest(self.cuts[whole], self.cuts[whole + 1] + GEAR, _CHUNK), whole
 
     def groups(self, shared: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Groups of consecutive windows with the same first and last cut and only shared chunks between: first and last window, core and stretch digest."""
+        """Groups of consecutive windows with the same first and last cut and only shared chunks between: first and last window, core and stretch digest with check."""
         digests, whole = self.chunks()
         bad = np.ones(len(self.cuts) + 1, np.int32)
         bad[whole] = ~shared(digests)
@@ -145,26 +163,64 @@ class Block:
         good = before[last] == before[first]
         low, high, first, last = low[good], high[good], first[good], last[good]
         core = self.digest(self.cuts[first], self.cuts[last] + GEAR, _CORE)
-        return low, high, core, self.digest(low, high + self.span, _STRETCH)
-
-
-class Member:
-    """Membership in a sorted array of digests."""
-
-    def __init__(self, digests: np.ndarray) -> None:
-        self.digests = digests
+        return low, high, core, self.checked(low, high + self.span, _STRETCH)
+
+
+def _thin(digests: np.ndarray) -> bytes:
+    """The used bytes of plain digests."""
+    return np.ascontiguousarray(digests.astype("<u8").view("u1").reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _thick(data: bytes, n: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), "u1")
+    out[:, 2:] = np.frombuffer(data, "u1", 6 * n, at).reshape(n, 6)
+    return out.view("<u8").ravel()
+
+
+class Known:
+    """What a pack has been told: digests, digests with checks, and per blob the texts that are worth another look."""
+
+    def __init__(self, flags: pa.Table | None) -> None:
+        plain, checked, self.alive, step_of = [], [], {}, {}
+        for blob in () if flags is None else flags.column("blob"):
+            data = blob.as_py()
+            kind, n = np.frombuffer(data, "<i8", 2)
+            if kind == _PLAIN:
+                plain.append(_thick(data, n, 16))
+            elif kind == _CHECKED:
+                checked.append((np.frombuffer(data, "<u8", n, 16), np.frombuffer(data, "<u2", n, 16 + 8 * n)))
+            else:
+                step, mark = np.frombuffer(data, "<i8", 2, 16)
+                if step > step_of.get(int(mark), 0):
+                    step_of[int(mark)], self.alive[int(mark)] = int(step), np.frombuffer(data, "<i4", n, 32)
+        self.digests = np.unique(np.concatenate(plain)) if plain else np.zeros(0, np.uint64)
+        pairs, checks = (np.concatenate([c[i] for c in checked]) if checked else np.zeros(0, np.uint64) for i in range(2))
+        order = np.lexsort((checks, pairs))
+        self.pairs, self.checks = pairs[order], checks[order]
+        same = self.pairs[1:] == self.pairs[:-1]
+        self.deepest = 1 + (int(np.diff(np.flatnonzero(np.concatenate([[True], ~same, [True]]))).max()) if len(self.pairs) else 0)
 
     def __call__(self, asked: np.ndarray) -> np.ndarray:
         if not len(self.digests):
             return np.zeros(len(asked), bool)
-        at = np.minimum(np.searchsorted(self.digests, asked), len(self.digests) - 1)
-        return self.digests[at] == asked
+        asked = asked & _PART
+        return self.digests[np.minimum(np.searchsorted(self.digests, asked), len(self.digests) - 1)] == asked
+
+    def both(self, asked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Whether digest and check are known."""
+        found = np.zeros(len(asked[0]), bool)
+        if len(self.pairs):
+            at = np.searchsorted(self.pairs, asked[0])
+            for k in range(self.deepest - 1):  # as many as share a digest, most often one
+                i = np.minimum(at + k, len(self.pairs) - 1)
+                found |= (self.pairs[i] == asked[0]) & (self.checks[i] == asked[1])
+        return found
 
 
 def _encode(ids: list[int], bases: list[int], texts: list[str]) -> bytes:
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     head = np.array([ids, bases, [len(r) for r in raw]], "<i8")
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(ids)], "<i8").tobytes() + head.tobytes() + b"".join(raw))
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(ids)], "<i8").tobytes() + head.tobytes() + b"".join(raw))
 
 
 def _decode(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -205,17 +261,23 @@ def packs(documents: DataFrame, doc_id: Column, text: Column, span: int, pack_ch
     return cut_lineage(made.repartition(partitions, "pack"), keep_partitioning=True)
 
 
-def _entries(pack: int, digests: np.ndarray, docs: np.ndarray, ids: np.ndarray, loud: np.ndarray, buckets: int) -> Iterator[tuple]:
+def _entries(pack: int, digests: np.ndarray, docs: np.ndarray, ids: np.ndarray, loud: np.ndarray | None, buckets: int, checks: np.ndarray | None = None) -> Iterator[tuple]:
     """(bucket, pack, blob) rows: sorted digests, each once, with its document or the mark that several documents of the pack have it, or that it counts as such (loud)."""
-    order = np.argsort(digests, kind="stable")
-    digests, docs = digests[order], docs[order]
-    at = np.flatnonzero(np.concatenate([[True], digests[1:] != digests[:-1]])) if len(digests) else np.zeros(0, np.int64)
-    if not len(at):
+    if not len(digests):
         return
+    order = np.argsort(digests, kind="stable") if checks is None else np.lexsort((checks, digests))
+    digests, docs = digests[order], docs[order]
+    new = digests[1:] != digests[:-1]
+    if checks is not None:
+        checks = checks[order]
+        new |= checks[1:] != checks[:-1]
+    at = np.flatnonzero(np.concatenate([[True], new]))
     named = np.unique(ids, return_inverse=True)[1].astype(np.int64)[docs]
-    low, high = np.minimum.reduceat(named, at), np.maximum.reduceat(named, at)
+    several = np.minimum.reduceat(named, at) != np.maximum.reduceat(named, at)
+    if loud is not None:
+        several |= np.logical_or.reduceat(loud[order], at)
     table = np.unique(ids)
-    owner = np.where((low == high) & ~np.logical_or.reduceat(loud[order], at), low, _MANY).astype("<u2")
+    owner = np.where(several, _MANY, named[at]).astype("<u2")
     digests = digests[at]
     bucket = ((digests >> _U(32)) * _U(buckets)) >> _U(32)  # rising with the digest
     edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
@@ -224,89 +286,120 @@ def _entries(pack: int, digests: np.ndarray, docs: np.ndarray, ids: np.ndarray,
         present, local = np.unique(owner[part], return_inverse=True)
         real = present[present != _MANY]
         local = np.where(owner[part] == _MANY, _MANY, local).astype("<u2")
-        blob = np.array([len(real), edges[b + 1] - edges[b]], "<i8").tobytes() + table[real].astype("<i8").tobytes() + digests[part].astype("<u8").tobytes() + local.tobytes()
-        yield int(b), pack, blob
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests, document ids and whether several documents of the pack have it."""
-    k, n = np.frombuffer(blob, "<i8", 2)
-    table = np.frombuffer(blob, "<i8", k, 16)
-    digests = np.frombuffer(blob, "<u8", n, 16 + 8 * k)
-    local = np.frombuffer(blob, "<u2", n, 16 + 8 * k + 8 * n).astype(np.int64)
+        head = np.array([_PLAIN if checks is None else _CHECKED, edges[b + 1] - edges[b], len(real)], "<i8").tobytes()
+        body = _thin(digests[part]) if checks is None else digests[part].astype("<u8").tobytes() + checks[at[part]].astype("<u2").tobytes()
+        yield int(b), pack, head + table[real].astype("<i8").tobytes() + body + local.tobytes()
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Digests, document ids, whether several documents of the pack have it, and checks."""
+    kind, n, k = np.frombuffer(blob, "<i8", 3)
+    table = np.frombuffer(blob, "<i8", k, 24)
+    at = 24 + 8 * k
+    digests = _thick(blob, n, at) if kind == _PLAIN else np.frombuffer(blob, "<u8", n, at)
+    checks = np.frombuffer(blob, "<u2", n, at + 8 * n) if kind == _CHECKED else None
+    local = np.frombuffer(blob, "<u2", n, at + (6 if kind == _PLAIN else 10) * n).astype(np.int64)
     many = local == _MANY
-    return digests, np.where(many, 0, np.append(table, 0)[np.where(many, k, local)]), many
+    return digests, np.where(many, 0, np.append(table, 0)[np.where(many, k, local)]), many, checks
 
 
 def _ask(table: pa.Table) -> pa.Table:
-    """All entries of one bucket -> per pack the digests that stand in more than one document."""
-    parts = [_unpack(b.as_py()) for b in table.column("blob")]
-    pack = table.column("pack").to_numpy()
-    sizes = [len(p[0]) for p in parts]
-    digests, owners, many = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.argsort(digests, kind="stable")
-    sorted_digests = digests[order]
-    at = np.flatnonzero(np.concatenate([[True], sorted_digests[1:] != sorted_digests[:-1]]))
-    single = np.where(many, np.iinfo(np.int64).min, owners)[order]
-    low = np.minimum.reduceat(np.where(many, np.iinfo(np.int64).max, owners)[order], at)
-    high, any_many = np.maximum.reduceat(single, at), np.logical_or.reduceat(many[order], at)
-    flag = np.empty(len(digests), bool)
-    flag[order] = np.repeat(any_many | (low < high), np.diff(np.append(at, len(digests))))
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    found = [(int(k), digests[a:b][flag[a:b]]) for k, a, b in zip(pack, edges, edges[1:])]
-    found = [(k, d.astype("<u8").tobytes()) for k, d in found if len(d)]
+    """All entries of one bucket -> per pack the digests that stand in more than one document; what a pack notes for itself is passed on."""
+    packs, blobs = table.column("pack").to_pylist(), [b.as_py() for b in table.column("blob")]
+    kinds = [int(np.frombuffer(b, "<i8", 1)[0]) for b in blobs]
+    found = [(k, b) for k, b, kind in zip(packs, blobs, kinds) if kind == _ALIVE]
+    for kind in (_PLAIN, _CHECKED):
+        own = [k for k, x in zip(packs, kinds) if x == kind]
+        parts = [_unpack(b) for b, x in zip(blobs, kinds) if x == kind]
+        if not parts:
+            continue
+        sizes = [len(p[0]) for p in parts]
+        digests, owners, many = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        checks = np.concatenate([p[3] for p in parts]) if kind == _CHECKED else None
+        order = np.argsort(digests, kind="stable") if checks is None else np.lexsort((checks, digests))
+        ordered = digests[order]
+        new = ordered[1:] != ordered[:-1]
+        if checks is not None:
+            new |= checks[order][1:] != checks[order][:-1]
+        at = np.flatnonzero(np.concatenate([[True], new]))
+        single = np.where(many, np.iinfo(np.int64).min, owners)[order]
+        low = np.minimum.reduceat(np.where(many, np.iinfo(np.int64).max, owners)[order], at)
+        high, any_many = np.maximum.reduceat(single, at), np.logical_or.reduceat(many[order], at)
+        flag = np.empty(len(digests), bool)
+        flag[order] = np.repeat(any_many | (low < high), np.diff(np.append(at, len(digests))))
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        for k, low, high in zip(own, edges, edges[1:]):
+            if n := int(flag[low:high].sum()):
+                told = digests[low:high][flag[low:high]]
+                body = _thin(told) if checks is None else told.astype("<u8").tobytes() + checks[low:high][flag[low:high]].astype("<u2").tobytes()
+                found.append((k, np.array([kind, n], "<i8").tobytes() + body))
     return pa.table({"pack": pa.array([k for k, _ in found], pa.int64()), "blob": pa.array([d for _, d in found], pa.binary())})
 
 
-def _blocks(packed: pa.Table, span: int, block_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray, Block]]:
+def _worth(pack: int, step: int, mark: int, texts: np.ndarray, buckets: int) -> tuple:
+    """A pack's note to itself, by way of any bucket: the texts of the blob that later steps need."""
+    bucket = int(_mix(np.array([pack], np.int64).view(np.uint64))[0] % _U(buckets))
+    return bucket, pack, np.array([_ALIVE, len(texts), step, mark], "<i8").tobytes() + texts.astype("<i4").tobytes()
+
+
+def _blocks(packed: pa.Table, span: int, block_chars: int, known: Known) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Block]]:
+    """Blocks of the texts that are worth a look: mark of the blob, the texts' places in it, ids, bases and the block."""
     for blob in packed.column("blob"):
-        ids, bases, texts = _decode(blob.as_py())
+        data = blob.as_py()
+        mark = zlib.crc32(data)
+        chosen = known.alive.get(mark)
+        if chosen is not None and not len(chosen):
+            continue
+        ids, bases, texts = _decode(data)
+        places = np.arange(len(texts)) if chosen is None else chosen
         start, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= block_chars or i == len(texts) - 1:
-                yield ids[start : i + 1], bases[start : i + 1], Block(texts[start : i + 1], span)
+        for i, place in enumerate(places):
+            size += len(texts[place])
+            if size >= block_chars or i == len(places) - 1:
+                part = places[start : i + 1]
+                yield mark, part, ids[part], bases[part], Block([texts[j] for j in part], span)
                 start, size = i + 1, 0
 
 
-def _known(flags: pa.Table | None) -> Member:
-    blobs = [] if flags is None else [np.frombuffer(b.as_py(), "<u8") for b in flags.column("blob")]
-    return Member(np.unique(np.concatenate(blobs)) if blobs else np.zeros(0, np.uint64))
-
-
 def _round(step: int, span: int, buckets: int, block_chars: int) -> Callable:
     """The digests that a pack asks about in a step, given what it knows from the earlier ones."""
 
     def run(packed: pa.Table, flags: pa.Table | None = None) -> pa.Table:
         rows: list[tuple] = []
-        known = _known(flags)
+        known = Known(flags)
         for pack in packed.column("pack").unique().to_pylist():
             own = packed.filter(pa.compute.equal(packed.column("pack"), pack))
-            digests, docs, ids, loud, seen = [], [], [], [], 0
-            for block_ids, _, block in _blocks(own, span, block_chars):
+            asked: dict[int, list[tuple]] = {_PLAIN: [], _CHECKED: []}  # digests, checks, documents
+            ids, loud, seen, worth = [], [], 0, {}
+            for mark, places, block_ids, _, block in _blocks(own, span, block_chars, known):
                 if step == 1:
                     found, whole = block.chunks()
-                    where = block.cut_doc[whole]
+                    asked[_PLAIN].append((found, None, block.cut_doc[whole] + seen))
                 else:
                     low, high, core, stretch = block.groups(known)
-                    if step == 2:
-                        found, where = np.concatenate([core, stretch]), np.tile(block.doc(low), 2)
-                    else:
+                    if step == 3:  # all as of one document, so that only open groups make a digest known
                         may = known(core)
-                        low, high, told, open_ = low[may], high[may], _told(core[may]), ~known(stretch[may])
-                        if step == 3:  # all as of one document, so that only open groups make a digest known
-                            found, where = told, np.zeros(len(low), np.int64)
-                        else:
-                            asks = open_ | known(told)
-                            p = _ranges(low[asks], high[asks] + 1)
-                            found, where = block.digest(p, p + span, _WINDOW), block.doc(p)
-                loud.append(open_ if step == 3 else np.zeros(len(found), bool))
-                digests.append(found)
-                docs.append(where + seen)
+                        asked[_PLAIN].append((_told(core[may]), None, np.zeros(int(may.sum()), np.int64) + seen))
+                        loud.append(~known.both((stretch[0][may], stretch[1][may])))
+                        low = low[may]
+                    elif step == 2:
+                        asked[_PLAIN].append((core, None, block.doc(low) + seen))
+                        asked[_CHECKED].append((*stretch, block.doc(low) + seen))
+                    else:
+                        asks = known(core) & (~known.both(stretch) | known(_told(core)))
+                        p = _ranges(low[asks], high[asks] + 1)
+                        asked[_CHECKED].append((*block.checked(p, p + span, _WINDOW), block.doc(p) + seen))
+                    worth.setdefault(mark, []).append(places[np.unique(block.doc(low))])
                 ids.append(block_ids if step != 3 else np.zeros(1, np.int64))
                 seen += len(ids[-1])
-            if digests:
-                rows += _entries(pack, np.concatenate(digests), np.concatenate(docs), np.concatenate(ids), np.concatenate(loud), buckets)
+            for kind, parts in asked.items():
+                if parts:
+                    digests, docs = (np.concatenate([x[i] for x in parts]) for i in (0, 2))
+                    checks = np.concatenate([x[1] for x in parts]) if kind == _CHECKED else None
+                    digests = digests & _PART if kind == _PLAIN else digests
+                    rows += _entries(pack, digests, docs, np.concatenate(ids), np.concatenate(loud) if loud else None, buckets, checks)
+            if step in (2, 3):
+                rows += [_worth(pack, step, mark, np.concatenate(places), buckets) for mark, places in worth.items()]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "pack": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
@@ -329,13 +422,13 @@ def _answer(span: int, block_chars: int) -> Callable:
     """The shared intervals of the documents of a pack."""
 
     def run(packed: pa.Table, flags: pa.Table) -> pa.Table:
-        known, out = _known(flags), []
-        for ids, bases, block in _blocks(packed, span, block_chars):
+        known, out = Known(flags), []
+        for _, _, ids, bases, block in _blocks(packed, span, block_chars, known):
             low, high, core, stretch = block.groups(known)
-            done = known(stretch)
+            done = known.both(stretch)
             open_ = known(core) & ~done  # the windows of done groups are all shared
             p = _ranges(low[open_], high[open_] + 1)
-            p = p[known(block.digest(p, p + span, _WINDOW))]
+            p = p[known.both(block.checked(p, p + span, _WINDOW))]
             starts, ends = np.concatenate([low[done], p]), np.concatenate([high[done], p]) + span
             if not len(starts):
                 continue
@@ -360,14 +453,21 @@ def shared_spans(
 ) -> DataFrame:
     """doc_id, start_pos, end_pos: the longest runs of positions that lie in a stretch of at least span characters that another document has too.
 
-    span must be at least 64 (two gear windows). pack_chars bounds what one task holds of the texts at a time, block_chars what it hashes at a time. partitions and buckets are those of
-    spark.sql.shuffle.partitions unless given."""
+    span must be at least 64 (two gear windows). pack_chars bounds what one task holds of the texts at a time, block_chars what it hashes at a time. partitions are those of
+    spark.sql.shuffle.partitions unless given. A bucket of digests is handled by one task; unless given there are at least as many as partitions and one for each BUCKET_BYTES of packed
+    text, up to 16,384 (more would leave a pack less than a few digests for each: then use larger packs and give the number)."""
     if span < 2 * GEAR:
         raise ValueError(f"span must be at least {2 * GEAR}")
     spark = documents.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or partitions
+    if not isinstance(documents.select(doc_id).schema[0].dataType, IntegralType):
+        keyed = documents.select(doc_id.alias("doc_id"), F.xxhash64(doc_id.cast("string")).alias("key"), text.alias("text")).where("doc_id is not null")
+        found = shared_spans(keyed, F.col("key"), F.col("text"), span, pack_chars, part_chars, block_chars, partitions, buckets).withColumnRenamed("doc_id", "key")
+        return found.join(keyed.select("doc_id", "key").distinct(), "key").select("doc_id", "start_pos", "end_pos")
     packed = packs(documents, doc_id, text, span, pack_chars, part_chars, partitions)
+    if buckets is None:
+        size = packed.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
+        buckets = max(partitions, min(_MOST_BUCKETS, -(-size // BUCKET_BYTES)))
     flags: DataFrame | None = None
     for step in (1, 2, 3, 4):
         ask = _round(step, span, buckets, block_chars)
@@ -376,7 +476,8 @@ def shared_spans(
             entries = packed.mapInArrow(_each(ask), schema)
         else:
             entries = packed.groupBy("pack").cogroup(flags.groupBy("pack")).applyInArrow(ask, schema)
-        fresh = cut_lineage(entries.groupBy("bucket").applyInArrow(_ask, "pack long, blob binary"))
+        told = entries.groupBy("bucket").applyInArrow(_ask, "pack long, blob binary")
+        fresh = cut_lineage(told.repartition(partitions, "pack"), keep_partitioning=True)  # a union of such tables stays partitioned, so what is known is shuffled once
         flags = fresh if flags is None else flags.unionByName(fresh)
     found = packed.groupBy("pack").cogroup(flags.groupBy("pack")).applyInArrow(_answer(span, block_chars), "doc_id long, start_pos long, end_pos long")
     # parts of a long document overlap, so its runs may touch

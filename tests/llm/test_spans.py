@@ -4,6 +4,8 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,23 @@ def test_nothing_to_find(spark):
         spans.shared_spans(empty, F.col("id"), F.col("text"), 63)
 
 
+def test_ids_of_other_types(spark):
+    docs = [(f"d{i}" if i is not None else None, t) for i, t in corpus(random.Random(8), "abcdefghij", 15)]
+    df = spark.createDataFrame(docs, "id string, text string")
+    got = [(r["doc_id"], r["start_pos"], r["end_pos"]) for r in spans.shared_spans(df, F.col("id"), F.col("text"), 90, partitions=2).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(docs, 90)
+
+
+def test_equal_digests_with_other_checks_are_told_apart():
+    u8, u2 = (lambda *x: np.array(x, np.uint64)), (lambda *x: np.array(x, np.uint16))
+    ids = np.array([1, 2])
+    rows = list(spans._entries(7, u8(5, 5, 6), np.array([0, 1, 0]), ids, None, 1, u2(1, 2, 3))) + list(spans._entries(8, u8(5, 6), np.array([0, 0]), np.array([3]), None, 1, u2(2, 4)))
+    told = spans._ask(pa.table({"pack": [r[1] for r in rows], "blob": [r[2] for r in rows]}))
+    for pack in (7, 8):
+        known = spans.Known(told.filter(pa.compute.equal(told.column("pack"), pack)))
+        assert known.both((u8(5, 5, 6, 6), u2(1, 2, 3, 4))).tolist() == [False, True, False, False]
+
+
 def test_any_span_holds_a_whole_chunk():
     rng = random.Random(9)
     core = "".join(rng.choice("abcdefghij ") for _ in range(250))
