@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,19 @@ def p6_distinct_users(spark: SparkSession, d: str) -> DataFrame:
     return distinct.estimate(merged, "order_day", "region", "order_day_total", "region_total")
 
 
+def p6_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Per group of p6_distinct_users the exact number, and whether the estimate lies within its error bound of it."""
+    orders = tables(spark, d, "order_messages").where("order_time is not null").select(norm_id("user_id").alias("who"), F.date_format("order_time", "yyyy-MM-dd").alias("day"), norm_id("region").alias("place"))
+    once = orders.where("who is not null").distinct()
+    totals = F.grouping("day").cast("boolean").alias("day_total"), F.grouping("place").cast("boolean").alias("place_total")
+    exact = once.cube("day", "place").agg(F.count_distinct("who").alias("n_exact"), *totals)
+    found = p6_distinct_users(spark, d)
+    same = [exact[a].eqNullSafe(found[b]) for a, b in (("day", "order_day"), ("place", "region"), ("day_total", "order_day_total"), ("place_total", "region_total"))]
+    rows = exact.join(found, reduce(lambda a, b: a & b, same), "full")
+    within = F.coalesce(F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.col("error_bound") * F.col("n_exact"), F.lit(False))
+    return rows.select("order_day", "region", "order_day_total", "region_total", "n_exact", within.alias("within_bound"))
+
+
 def _pieces(spark: SparkSession, d: str, vocabulary: str) -> DataFrame:
     texts = tables(spark, d, "documents").select("doc_id", "text").where("text <> ''")
     return cut_lineage(packing.pieces(texts.select("doc_id", token_count("text", vocabulary).alias("n")), F.col("doc_id"), F.col("n"), CAPACITY))
@@ -125,7 +140,7 @@ def p10_shared_part(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("shared_part", F.col("shared_chars") / F.col("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_bound, p6_distinct_users, p8_containers, p8_checks, p9_mix, p9_shares, p9_checks, p10_found, p10_shared_part)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_bound, p6_distinct_users, p6_bound, p8_containers, p8_checks, p9_mix, p9_shares, p9_checks, p10_found, p10_shared_part)}
 _P6_HASHED = """select strftime(order_time at time zone 'UTC', '%Y-%m-%d') as order_day, nullif(lower(trim(region)), '') as region, ('0x' || substr(md5(nullif(lower(trim(user_id)), '')), 1, 15))::bigint as h
 from order_messages where order_time is not null and nullif(lower(trim(user_id)), '') is not null"""
 _P10_RUNS = """with t as (select doc_id, text from documents where doc_id is not null and length(text) >= 250),
@@ -140,6 +155,8 @@ ORACLES = {
   (select *, row_number() over (partition by nullif(lower(trim(order_id)), '') order by msg_offset) as rn from order_messages)
   where (rn = 1 or nullif(lower(trim(order_id)), '') is null) and order_time is not null and amount is not null and not isnan(amount))
 select region, day as order_day, count(*) as n_amounts, true as all_counted, true as p50_within, true as p90_within, true as p95_within, true as p99_within from o group by grouping sets ((region, day), (region))""",
+    "p6_bound": """with o as (select strftime(order_time at time zone 'UTC', '%Y-%m-%d') as order_day, nullif(lower(trim(region)), '') as region, nullif(lower(trim(user_id)), '') as who from order_messages where order_time is not null)
+select order_day, region, grouping(order_day) = 1 as order_day_total, grouping(region) = 1 as region_total, count(distinct who) as n_exact, true as within_bound from o where who is not null group by cube (order_day, region)""",
     "p8_checks": "select count(*) as n_texts, 0::bigint as n_not_whole, 0::bigint as n_repeated, 0::bigint as n_split_though_fitting, 0::bigint as n_over_capacity, true as few_containers from documents where text <> ''",
     "p9_checks": """select t.source, t.target_share, t.max_repeats, (select count(*) from documents d where d.source = t.source and d.text <> '' and d.doc_id is not null) as n_available,
 true as cap_kept, true as epochs_first, true as near_budget from mix_targets t""",
