@@ -430,7 +430,7 @@ def _by_arrival(df: DataFrame, n: int) -> list[DataFrame]:
 def p2_store_replay(spark: SparkSession, d: str) -> DataFrame:
     """Order messages in four micro-batches through the store that lets each identifier pass once; rows without one all pass."""
     orders = tables(spark, d, "order_messages").select(norm_id("order_id").alias("id"), "msg_offset", F.unix_micros("arrival_time").alias("arrival_us"))
-    store, kept = stores.RepeatStore(spark, _folder(spark, "repeats"), compact_every=2), []
+    store, kept = stores.RepeatStore(spark, _folder(spark, "repeats"), shards=16, compact_every=2), []
     for k, part in enumerate(_by_arrival(orders, 4)):
         kept.append(cut_lineage(store.feed(part, k).select("id", "msg_offset")))
     whole = kept[0]
@@ -476,7 +476,7 @@ select event_type, count(*) as n, cast(k + 1 as bigint) as fire from b, m where
 m as (select date_trunc('day', least((select max(ts) from b), (select max(ts) from o))) as mark)
 select time_bucket(interval 1 day, ts) + interval 1 day as window_end, count(*) as cnt from (select * from b union all select * from o) group by 1 having window_end <= (select mark from m)""",
     "processing_time_windows": f"{_DAILY} group by 1 having window_end <= timestamp '2024-01-25'",
-    "final_fire": f"with b as ({_FEED}) select event_type, count(*) as n, k as fire from b join (values (1, 0), (2, 2)) f(k, upto) on batch <= upto group by event_type, k",
+    "final_fire": f"with b as ({_FEED}) select event_type, count(*) as n, k::bigint as fire from b join (values (1, 0), (2, 2)) f(k, upto) on batch <= upto group by event_type, k",
     "fan_out_sinks": "select event_type, count(*) as n, cast(sum(user_id) as bigint) as users, count(*) as n_json, cast(sum(user_id) as bigint) as users_json from events group by event_type",
     "csv_and_json_files": "select *, unnest(['csv', 'json']) as kind from events",
     "kafka_json_topic": "select *, user_id as key_user from events",

@@ -148,6 +148,20 @@ def p7_order_values(spark: SparkSession, d: str) -> DataFrame:
     return late.derive(state, ["hour_us"]).select("hour_us", "n_records", "n_values", "n_distinct", "smallest", "largest", "median")
 
 
+def p7_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """Per hour of order messages, what it held when the watermark without lateness passed its end, and what it holds with the late messages merged in: records, distinct amounts and median."""
+    orders = tables(spark, d, "order_messages").select(F.lit("order_messages").alias("src"), "msg_offset", "batch_id", F.unix_micros("order_time").alias("us"), "amount")
+    kept = late.judged(orders, LATENESS_US).where("not late")
+    corrects = F.coalesce(F.col("period_us") + HOUR_US <= F.col("watermark_us") + LATENESS_US, F.lit(False))
+    parts = late.multiset(kept.withColumn("corrects", corrects).withColumnRenamed("period_us", "hour_us"), ["hour_us", "corrects"], F.when(~F.isnan("amount"), F.col("amount")))
+    parts = cut_lineage(parts)
+    first, delta = (parts.where(F.col("corrects") == c).drop("corrects") for c in (False, True))
+    after = late.derive(late.merge(first, delta, ["hour_us"]), ["hour_us"])
+    before = late.derive(first, ["hour_us"]).select("hour_us", *[F.col(c).alias(f"{c}_before") for c in ("n_records", "n_distinct", "median")])
+    rows = after.select("hour_us", "n_records", "n_distinct", "median").join(before, "hour_us", "left")
+    return rows.fillna(0, ["n_records_before", "n_distinct_before"])
+
+
 _U, _ID = "nullif(lower(trim(user_id)), '')", "nullif(lower(trim({})), '')"
 _SESSIONS = f"""with e as (select {_U} as user_id, epoch_us(event_time) as us, id from activity_log where {_U} is not null and event_time is not null),
 g as (select *, case when us - lag(us) over w > {{gap}} or lag(us) over w is null then 1 else 0 end as new from e window w as (partition by user_id order by us)),
@@ -167,10 +181,10 @@ def _late_sql() -> str:
     parts = " union all ".join(f"select '{t}' as src, msg_offset, batch_id, epoch_us({c}) as us, {'amount' if t == 'order_messages' else 'null'} as amount from {t}" for t, c in _TIMES.items())
     return f"""with m as ({parts}), b as (select src, batch_id, max(us) as us from m group by 1, 2),
 w as (select src, batch_id, max(us) over (partition by src order by batch_id rows between unbounded preceding and 1 preceding) - {LATENESS_US} as wm from b),
-j as (select m.*, us - us % {HOUR_US} as hour_us, coalesce(us - us % {HOUR_US} + {HOUR_US} <= wm, false) as late from m join w using (src, batch_id) where us is not null)"""
+j as (select m.*, wm, us - us % {HOUR_US} as hour_us, coalesce(us - us % {HOUR_US} + {HOUR_US} <= wm, false) as late from m join w using (src, batch_id) where us is not null)"""
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p1_gap_settings, p2_found, p2_unique_orders, p4_found, p4_rolling, p5_found, p5_report, p5_inherited, p5_two_keys, p5_self_reference, p7_found, p7_counts, p7_order_values)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p1_gap_settings, p2_found, p2_unique_orders, p4_found, p4_rolling, p5_found, p5_report, p5_inherited, p5_two_keys, p5_self_reference, p7_found, p7_counts, p7_order_values, p7_corrections)}
 
 ORACLES = {
     "p1_found": f"{_SESSIONS.format(gap=INACTIVE_US)} select user_id, min(us) as start_us, max(us) as end_us from s group by user_id, k",
@@ -213,6 +227,9 @@ h as (select user_id, hour, k, min(depth) as depth from c where depth > 0 group
 select 'product_feed' as parent, 'direct' as kind, 0::int as depth, count(*) as n from bad having n > 0 union all select 'order_messages', 'inherited', depth::int, count(*) from h group by 3""",
     "p7_found": f"{_late_sql()} select distinct src as src_table, msg_offset from j where late",
     "p7_counts": f"{_late_sql()} select src as src_table, hour_us, count(*) as n from j where not late group by 1, 2",
+    "p7_corrections": f"""{_late_sql()}, v as (select hour_us, case when not isnan(amount) then amount end as v, coalesce(hour_us + {HOUR_US} <= wm + {LATENESS_US}, false) as corrects from j where src = 'order_messages' and not late)
+select hour_us, count(*) as n_records, count(distinct v) as n_distinct, quantile_disc(v, 0.5) as median, count(*) filter (not corrects) as n_records_before,
+count(distinct v) filter (not corrects) as n_distinct_before, quantile_disc(v, 0.5) filter (not corrects) as median_before from v group by 1""",
     "p7_order_values": f"""{_late_sql()}, v as (select hour_us, case when not isnan(amount) then amount end as v from j where src = 'order_messages' and not late)
 select hour_us, count(*) as n_records, count(v) as n_values, count(distinct v) as n_distinct, min(v) as smallest, max(v) as largest, quantile_disc(v, 0.5) as median from v group by 1""",
 }
