@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eddyline.session import cut_lineage
+from eddyline.session import cut_each
 
 
 @dataclass(frozen=True)
@@ -63,19 +63,20 @@ def cascade(edges: list[Edge]) -> DataFrame:
     both direct and inherited is direct; an inherited one has the depth of the first round that reaches it."""
     keys = list(dict.fromkeys((e.child, e.parent) for e in edges))
     refs = {k: _together([e.references for e in edges if (e.child, e.parent) == k]) for k in keys}
-    found = {k: cut_lineage(_together([e.orphans for e in edges if (e.child, e.parent) == k])).withColumns({"kind": F.lit("direct"), "depth": F.lit(0)}) for k in keys}
+    direct = cut_each([_together([e.orphans for e in edges if (e.child, e.parent) == k]) for k in keys])
+    found = {k: df.withColumns({"kind": F.lit("direct"), "depth": F.lit(0)}) for k, df in zip(keys, direct)}
     fresh, depth = {k: rows for k, rows in found.items() if not rows.isEmpty()}, 0
     while fresh:
         depth += 1
-        reached: dict[tuple[str, str], DataFrame] = {}
+        heirs_of: dict[tuple[str, str], DataFrame] = {}
         for k in keys:
             new = [rows.select(F.col("record_id").alias("ref_id")) for (child, _), rows in fresh.items() if child == k[1]]
             if new:
                 heirs = refs[k].join(reduce(DataFrame.unionByName, new).distinct(), "ref_id", "left_semi")
                 known = found[k].select("record_id", "ref_id")
-                rows = cut_lineage(heirs.join(known, ["record_id", "ref_id"], "left_anti")).withColumns({"kind": F.lit("inherited"), "depth": F.lit(depth)})
-                if not rows.isEmpty():
-                    reached[k] = rows
+                heirs_of[k] = heirs.join(known, ["record_id", "ref_id"], "left_anti")
+        met = {k: df.withColumns({"kind": F.lit("inherited"), "depth": F.lit(depth)}) for k, df in zip(heirs_of, cut_each(list(heirs_of.values())))}
+        reached = {k: rows for k, rows in met.items() if not rows.isEmpty()}
         for k, rows in reached.items():
             found[k] = found[k].unionByName(rows)
         fresh = reached

@@ -423,8 +423,10 @@ def session_variables(spark: SparkSession, d: str) -> DataFrame:
 def _by_arrival(df: DataFrame, n: int) -> list[DataFrame]:
     """The messages in n micro-batches by even ranges of their offsets."""
     low, high = df.agg(F.min("msg_offset"), F.max("msg_offset")).first()
-    part = F.least(F.floor((F.col("msg_offset") - low) * n / (high - low + 1)), F.lit(n - 1)) if low is not None else F.lit(0)
-    return [df.where(F.coalesce(part, F.lit(0)) == k) for k in range(n)]
+    if low is None:
+        return [df, *[df.limit(0)] * (n - 1)]
+    edges = [low - (-k * (high - low + 1) // n) for k in range(n + 1)]  # ranges reach the scan
+    return [df.where(f"msg_offset >= {a} and msg_offset < {b}" + (" or msg_offset is null" if not k else "")) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
 
 
 def p2_store_replay(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eddyline.functions import norm_id, tables
 from eddyline.functions.columns import HOUR_US
 from eddyline.operators import gap_tree, late, orphans, repeats, rolling
-from eddyline.session import cut_lineage
+from eddyline.session import cut_each, cut_lineage
 
 INACTIVE_US = 1_800_000_000
 LATENESS_US = 6 * HOUR_US
@@ -75,8 +75,8 @@ def p4_rolling(spark: SparkSession, d: str) -> DataFrame:
 def _edges(spark: SparkSession, d: str) -> list[orphans.Edge]:
     orders, deliveries, feed = (tables(spark, d, t) for t in ("order_messages", "delivery_messages", "product_feed"))
     # each table is read once; what the edges need of it is kept
-    kept = cut_lineage(orders.select(norm_id("order_id").alias("record_id"), norm_id("product_id").alias("ref_id"), F.col("order_time").alias("at")).where("record_id is not null").distinct())
-    to_order = cut_lineage(orphans.references(deliveries, norm_id("delivery_id"), norm_id("order_id"), F.col("delivery_time")))
+    kept = orders.select(norm_id("order_id").alias("record_id"), norm_id("product_id").alias("ref_id"), F.col("order_time").alias("at")).where("record_id is not null").distinct()
+    kept, to_order = cut_each([kept, orphans.references(deliveries, norm_id("delivery_id"), norm_id("order_id"), F.col("delivery_time"))])
     to_product = kept.where("ref_id is not null")
     alive = orphans.lifetimes(feed, norm_id("product_id"), F.col("event_time"), F.col("change_op") != "delete")
     return [

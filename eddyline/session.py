@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,16 +45,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
     """The same rows read back from the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    keep_partitioning: later plans see how the rows are partitioned and do not shuffle them again; adaptive plans hide that, so this one is planned without."""
+    keep_partitioning: later plans see how the rows are partitioned and do not shuffle them again; adaptive plans hide that, so this one is planned without, in a copy of the session, so
+    that other queries keep theirs."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    try:
-        if keep_partitioning:
-            spark.conf.set("spark.sql.adaptive.enabled", "false")
+    if not keep_partitioning:
         return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    aside = spark._jsparkSession.cloneSession()
+    aside.conf().set("spark.sql.adaptive.enabled", "false")
+    datasets = spark._jvm.org.apache.spark.sql.classic.Dataset
+    kept = datasets.ofRows(aside, df._jdf.queryExecution().analyzed()).checkpoint(True)
+    return DataFrame(datasets.ofRows(spark._jsparkSession, kept.queryExecution().analyzed()), spark)
+
+
+def cut_each(dfs: list[DataFrame]) -> list[DataFrame]:
+    """cut_lineage() of tables that do not depend on each other, all at a time."""
+    if len(dfs) < 2:
+        return [cut_lineage(df) for df in dfs]
+    with ThreadPoolExecutor(len(dfs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(dfs[0].sparkSession)(cut_lineage), df) for df in dfs]]
 
 
 def ship(spark: SparkSession) -> None:
