@@ -36,6 +36,7 @@ class KafkaSource:
     value_deserializer: Any = None
     key_deserializer: Any = None
     batch_size: int = 1000
+    timeout: float | None = None  # seconds an executor waits for a poll; else Spark's default
     consumer_config: dict[str, str] = field(default_factory=dict)
     time_notion: Any = None
     seek_timestamp: dt.datetime | None = None
@@ -56,6 +57,8 @@ class KafkaSource:
             found |= {"startingTimestamp": str(int(at.timestamp() * 1000)), "startingOffsetsByTimestampStrategy": "latest"}
         else:
             found["startingOffsets"] = self.consumer_config.get("auto.offset.reset", "earliest")
+        if self.timeout is not None:
+            found["kafkaConsumer.pollTimeoutMs"] = str(int(self.timeout * 1000))
         if streaming:
             found["maxOffsetsPerTrigger"] = str(self.batch_size)
         return found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 from collections.abc import Iterator
 from typing import Any, Protocol, runtime_checkable
 
@@ -31,15 +32,17 @@ class Replayable(Protocol):
 
 
 class FakeSource:
-    """Gives prepared batches in order."""
+    """Gives prepared batches in order, with a pause of some seconds between them."""
 
-    def __init__(self, batches: list[list[dict[str, Any]]], time_notion: Any = None) -> None:
-        self.batches, self.time_notion, self.seek_timestamp, self._left = batches, time_notion, None, iter(())
+    def __init__(self, batches: list[list[dict[str, Any]]], time_notion: Any = None, delay_between_batches: float = 0.0) -> None:
+        self.batches, self.time_notion, self.delay, self.seek_timestamp, self._left = batches, time_notion, delay_between_batches, None, iter(())
 
     def start(self) -> None:
         self._left: Iterator[list[dict[str, Any]]] = iter(self.batches)
 
     def read(self) -> list[dict[str, Any]] | None:
+        if self.delay:
+            time.sleep(self.delay)
         return next(self._left, None)
 
     def seek(self, at: dt.datetime) -> None:

@@ -83,6 +83,7 @@ def test_json_keeps_microseconds_and_nulls(spark):
 
 def test_lost_offsets_fail_unless_told_otherwise():
     source = lambda **more: kafka.KafkaSource("t", "b", Wide, **more).options()["failOnDataLoss"]
+    assert kafka.KafkaSource("t", "b", Wide, timeout=1.5).options()["kafkaConsumer.pollTimeoutMs"] == "1500"
     assert source() == "true" and source(fail_on_data_loss=False) == "false"
 
 
