@@ -329,6 +329,19 @@ _add("casts", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, o_totalprice
 _add("json_fns", "SELECT event_id, GET_JSON_OBJECT(props, '$.k') AS k, props IS NULL AS missing FROM events", "select event_id, json_extract_string(props, '$.k') as k, props is null as missing from events")
 _add("array_fns", "SELECT vec_id, CAST(SIZE(embedding) AS BIGINT) AS n, embedding[0] AS first_value, ROUND(AGGREGATE(embedding, CAST(0 AS DOUBLE), (a, x) -> a + x * x), 4) AS norm2 FROM embeddings", "select vec_id, len(embedding) as n, embedding[1] as first_value, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 4) as norm2 from embeddings")
 _add("generate_series", "SELECT n_nationkey, i FROM nation, LATERAL GENERATE_SERIES(2, n_regionkey, 1) AS t(i)", "select n_nationkey, unnest(generate_series(2, n_regionkey, 1))::int as i from nation")
+_add(  # the same text in both dialects
+    "dialect_aggregates",
+    """SELECT event_type, ARG_MAX(event_id, value) AS dearest, ARG_MIN(user_id, ts) AS first_user, COUNT(*) FILTER (value > 50) AS large, QUANTILE_CONT(value, 0.25) AS q25,
+ARRAY_TO_STRING(LIST_SORT(LIST(CASE WHEN value > 99 THEN event_id END)), ',') AS ids, CAST(SUM(user_id // 7) AS BIGINT) AS sevenths FROM events GROUP BY event_type""".replace("LIST_SORT", "ARRAY_SORT"),
+    """select event_type, arg_max(event_id, value) as dearest, arg_min(user_id, ts) as first_user, count(*) filter (value > 50) as large, quantile_cont(value, 0.25) as q25,
+array_to_string(list_sort(list(case when value > 99 then event_id end)), ',') as ids, cast(sum(user_id // 7) as bigint) as sevenths from events group by event_type""",
+)
+_add(
+    "dialect_scalars",
+    """SELECT event_id, STRFTIME(ts, '%Y-%m-%d at %H:%M:%S') AS s, EPOCH_US(ts) AS us, EPOCH_MS(ts) AS ms, TIME_BUCKET(INTERVAL '15 minutes', ts) AS quarter, DATE_DIFF('hour', TIMESTAMP '2024-01-01 00:30:00', ts) AS hours,
+REGEXP_MATCHES(event_type, '^p') AS starts_with_p, JSON_EXTRACT_STRING(props, '$.k') AS k, STRPTIME(STRFTIME(ts, '%Y/%m/%d'), '%Y/%m/%d') AS day FROM (SELECT * EXCLUDE (value) FROM events)""",
+)
+_add("unnest_lists", "SELECT vec_id, UNNEST(embedding) AS x FROM embeddings")
 _add("cte_chain", "WITH a AS (SELECT o_custkey, SUM(o_totalprice) AS t FROM orders GROUP BY o_custkey), b AS (SELECT o_custkey, t FROM a WHERE t > 100000) SELECT c_mktsegment, COUNT(*) AS n FROM b JOIN customer ON b.o_custkey = c_custkey GROUP BY c_mktsegment")
 _add("documents_by_source", "SELECT source, COUNT(*) AS n, CAST(SUM(LENGTH(text)) AS BIGINT) AS chars, MAX(LENGTH(text)) AS longest FROM documents GROUP BY source")
 ORACLES["documents_by_source"] = ORACLES["documents_by_source"].replace("MAX(LENGTH(text))", "CAST(MAX(LENGTH(text)) AS INTEGER)")
