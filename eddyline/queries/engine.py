@@ -208,11 +208,7 @@ def monotone_watermark(spark: SparkSession, d: str) -> DataFrame:
     for k in range(3):
         runner.feed("events", _events(spark, d).where(f"{_OLD_LAST} = {k}"))
         rows.append((k, runner.watermark("out")))
-    known = [spark.range(1).select(F.lit(k).cast("long").alias("k"), instant(at, "timestamp_ntz").alias("watermark")) for k, at in rows if at]
-    whole = known[0]
-    for part in known[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return spark.createDataFrame([(k, at and at.replace(tzinfo=None)) for k, at in rows], "k long, watermark timestamp_ntz")
 
 
 def allowed_lateness(spark: SparkSession, d: str) -> DataFrame:
@@ -275,7 +271,8 @@ def fan_out_sinks(spark: SparkSession, d: str) -> DataFrame:
     sinks = [FileSink(paths[0]), FileSink(paths[1], "json", ("event_type",))]
     kafka.FanOutSink(sinks).write(_events(spark, d).select("event_id", "event_type", "user_id"))
     first = FileSource(paths[0]).read(spark).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
-    second = FileSource(paths[1], "json").read(spark).groupBy("event_type").agg(F.count("*").alias("n_json"), F.sum("user_id").alias("users_json"))
+    kinds = "event_id long, user_id long, event_type string"
+    second = spark.read.schema(kinds).json(paths[1]).groupBy("event_type").agg(F.count("*").alias("n_json"), F.sum("user_id").alias("users_json"))
     return first.join(second, "event_type")
 
 
@@ -337,6 +334,7 @@ def kafka_stream_windows(spark: SparkSession, d: str) -> DataFrame:
         def write(self, df: DataFrame) -> None:
             kafka.record(kafka.KafkaSink("results", "").encode(df), "results", out, F.current_timestamp())
 
+    kafka.record(spark.createDataFrame([], "value binary"), "results", out, F.current_timestamp())
     Runner(spark, app, {"out": Sink()}).attach({"events": _topic(spark, d).read_stream(spark).drop(kafka.KEY)}, _folder(spark, "offsets")).awaitTermination()
     found = kafka.KafkaSource("results", "", Result, recorded=out).read(spark)
     return found.select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "cnt")
@@ -384,6 +382,7 @@ def native_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     app, path = Pipeline(), _folder(spark, "native")
     app.source("events", schema=Event, ts_col="ts")
     app.output("out", _COUNT).trigger(window=DAY)
+    spark.createDataFrame([], "window_end timestamp, cnt long").write.parquet(path)  # the sink appends
     stored = _folder(spark, "stream-input")
     _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(stored)
     stream = FileSource(stored, schema=Event).read_stream(spark, 1000)

@@ -169,9 +169,10 @@ class _Keep:
     def write(self, df: DataFrame) -> None:
         self.parts.append(cut_lineage(df.withColumn("fire", F.lit(len(self.parts) + 1).cast("long"))))
 
-    def all(self) -> DataFrame:
-        whole = self.parts[0]
-        for part in self.parts[1:]:
+    def all(self, spark: SparkSession, schema: str) -> DataFrame:
+        """All of them; nothing was written for an empty table."""
+        whole = spark.createDataFrame([], f"{schema}, fire long")
+        for part in self.parts:
             whole = whole.unionByName(part)
         return whole
 
@@ -198,14 +199,14 @@ def late_drop_replay(spark: SparkSession, d: str) -> DataFrame:
     app = _events_only("SELECT window_end, COUNT(*) AS cnt FROM HOP('events', 'ts', INTERVAL '1 day') GROUP BY window_end", DAY)
     days = F.datediff("ts", F.lit("2024-01-01"))
     batch = F.when((F.col("event_id") % 4 == 0) | (days < 10), F.when(days < 20, 0).otherwise(2)).when(days < 20, 1).otherwise(2)
-    return _replay(spark, d, app, batch, dt.datetime(2024, 1, 1))[1].all().select("window_end", "cnt")
+    return _replay(spark, d, app, batch, dt.datetime(2024, 1, 1))[1].all(spark, "window_end timestamp_ntz, cnt long").select("window_end", "cnt")
 
 
 def records_trigger_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """One snapshot of all rows so far per batch."""
     app = _events_only("SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type")
     batch = F.least(F.floor(F.datediff("ts", F.lit("2024-01-01")) / 10), F.lit(2))
-    return _replay(spark, d, app, batch)[1].all().select("event_type", "n", "fire")
+    return _replay(spark, d, app, batch)[1].all(spark, "event_type string, n long").select("event_type", "n", "fire")
 
 
 def expiration_retained(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +214,8 @@ def expiration_retained(spark: SparkSession, d: str) -> DataFrame:
     app = _events_only("SELECT window_end, COUNT(*) AS cnt FROM HOP('events', 'ts', INTERVAL '2 days') GROUP BY window_end", DAY)
     batch = F.least(F.floor(F.datediff("ts", F.lit("2024-01-01")) / 10), F.lit(2))
     runner, _ = _replay(spark, d, app, batch, dt.datetime(2024, 1, 1))
-    return runner.retained("events").select("event_id", "ts")
+    rows = runner.retained("events")
+    return (tables(spark, d, "events").limit(0) if rows is None else rows).select("event_id", "ts")
 
 
 def watermark_min_of_sources(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,15 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def empty_tables(spark, tmp_path_factory):
+    """The test tables without rows."""
+    folder = tmp_path_factory.mktemp("empty")
+    for path in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        spark.createDataFrame([], spark.read.parquet(str(path)).schema).write.parquet(str(folder / path.name))
+    return str(folder)
+
+
 def at(text: str, day: str = "2024-01-01") -> dt.datetime:
     """A UTC time of the day, as 10:05 or 10:05:30."""
     return dt.datetime.fromisoformat(f"{day}T{text if text.count(':') == 2 else text + ':00'}").replace(tzinfo=dt.UTC)
