@@ -93,7 +93,7 @@ def p8_checks(spark: SparkSession, d: str, vocabulary: str = DEFAULT_VOCABULARY)
         F.count_if((F.col("n") > 1) & (F.col("tokens") <= CAPACITY)).alias("n_split_though_fitting"),
     )
     fits = (F.sum("n_tokens") + CAPACITY - 1) / CAPACITY
-    whole = filled.agg(F.count_if(F.col("n_tokens") > CAPACITY).alias("n_over_capacity"), (F.count("*") <= 1.01 * F.floor(fits) + 1).alias("few_containers"))
+    whole = filled.agg(F.count_if(F.col("n_tokens") > CAPACITY).alias("n_over_capacity"), (F.count("*") <= 1.01 * F.coalesce(F.floor(fits), F.lit(0)) + 1).alias("few_containers"))
     return texts.join(whole)  # one row each
 
 

@@ -55,3 +55,8 @@ def test_mix_keeps_caps(spark, con):
     for source, r in shares.items():
         assert r["tokens"] == sum(x["n_tokens"] * x["repeats"] for x in rows if x["source"] == source)
         assert abs(r["tokens"] - r["budget"]) <= max([x["n_tokens"] for x in rows if x["source"] == source], default=0)
+
+
+def test_empty_tables(spark, empty_tables):
+    found = {name: query(spark, empty_tables).count() for name, query in queries.QUERIES.items()}
+    assert {name: n for name, n in found.items() if n} == {"p8_checks": 1}
