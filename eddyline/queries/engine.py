@@ -390,6 +390,19 @@ def native_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return FileSource(path).read(spark).select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "cnt")
 
 
+def native_stream_copies(spark: SparkSession, d: str) -> DataFrame:
+    """A stream in which every event comes twice, the second time in another file: each passes once."""
+    stored, path = _folder(spark, "stream-input"), _folder(spark, "native")
+    rows = _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    for _ in range(2):
+        rows.write.mode("append").parquet(stored)
+    spark.createDataFrame([], Event.to_struct_type()).write.parquet(path)  # the sink appends
+    once = native.first_copies(FileSource(stored, schema=Event).read_stream(spark, 1000), ["event_id"], "ts", HOUR)
+    query = once.writeStream.foreachBatch(lambda df, _: FileSink(path).write(df)).option("checkpointLocation", _folder(spark, "offsets"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    return _as_table(FileSource(path, schema=Event).read(spark))
+
+
 def user_functions(spark: SparkSession, d: str) -> DataFrame:
     """A function per row and an aggregate of the user in an output's SQL, both on Arrow batches."""
 
@@ -453,7 +466,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         validation_rules, trigger_inference, sql_questions, runtime_execute, lookback_scan, combined_trigger, combined_trigger_hop_view, monotone_watermark, allowed_lateness, min_watermark_windows,
-        processing_time_windows, final_fire, bounded_emission, fan_out_sinks, csv_and_json_files, kafka_json_topic, kafka_seek, kafka_stream_windows, avro_topic, custom_codec, native_stream_windows,
+        processing_time_windows, final_fire, bounded_emission, fan_out_sinks, csv_and_json_files, kafka_json_topic, kafka_seek, kafka_stream_windows, avro_topic, custom_codec, native_stream_windows, native_stream_copies,
         user_functions, session_variables, p2_store_replay, p7_store_replay,
     )
 }
@@ -486,6 +499,7 @@ select time_bucket(interval 1 day, ts) + interval 1 day as window_end, count(*)
     "avro_topic": "select * from events",
     "custom_codec": "select event_id, event_type from events where event_type <> 'error'",
     "native_stream_windows": f"{_DAILY} group by 1 having window_end <= (select max(ts) from events)",
+    "native_stream_copies": "select * from events",
     "user_functions": "select user_id, max(value * 2) - min(value * 2) as width from events group by user_id",
     "session_variables": "select event_type, count(*) as n from events where value > 50 group by event_type",
     "p2_store_replay": "select order_id, msg_offset from (select nullif(lower(trim(order_id)), '') as order_id, msg_offset, row_number() over (partition by nullif(lower(trim(order_id)), '') order by msg_offset) as rn from order_messages) where order_id is null or rn = 1",

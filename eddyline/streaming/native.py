@@ -42,6 +42,11 @@ def streaming_frame(spark: SparkSession, pipeline: Pipeline, output: str, stream
     return plan.dataframe(spark, output, marked)
 
 
+def first_copies(stream: DataFrame, keys: list[str], ts_col: str, within: dt.timedelta) -> DataFrame:
+    """Of rows with the same keys the first that comes; copies whose times lie further apart than within may pass again, and keys are forgotten after it. Null keys are equal to each other."""
+    return stream.withWatermark(ts_col, f"{int(within.total_seconds() * 1000)} milliseconds").dropDuplicatesWithinWatermark(keys)
+
+
 def start(spark: SparkSession, pipeline: Pipeline, output: str, streams: dict[str, DataFrame], sink: object, checkpoint: str, lateness: dict[str, dt.timedelta] | None = None, available_now: bool = True):
     """Writes each micro-batch of the output to sink.write(df)."""
     frame = streaming_frame(spark, pipeline, output, streams, lateness)
