@@ -37,7 +37,7 @@ from pyspark.sql.types import IntegralType
 from eddyline.session import cut_lineage
 
 GEAR = 32
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES, TOGETHER = 16 << 20, 4_000_000
 _U = np.uint64
 _MANY = 65535
 _CHUNK, _CORE, _STRETCH, _WINDOW, _OPEN = range(5)
@@ -291,51 +291,93 @@ def _entries(pack: int, digests: np.ndarray, docs: np.ndarray, ids: np.ndarray,
         yield int(b), pack, head + table[real].astype("<i8").tobytes() + body + local.tobytes()
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+class _Owners:
+    """Document ids of the entries of a blob, from their places in its table; taken by slices."""
+
+    def __init__(self, table: np.ndarray, local: np.ndarray) -> None:
+        self.table, self.local = np.append(table, 0), local
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        local = self.local[part].astype(np.int64)
+        return self.table[np.where(local == _MANY, len(self.table) - 1, local)]
+
+
+class _Many:
+    """Whether several documents of the pack have an entry; taken by slices."""
+
+    def __init__(self, local: np.ndarray) -> None:
+        self.local = local
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        return self.local[part] == _MANY
+
+
+def _unpack(blob: bytes | memoryview) -> tuple[np.ndarray, _Owners, _Many, np.ndarray | None]:
     """Digests, document ids, whether several documents of the pack have it, and checks."""
     kind, n, k = np.frombuffer(blob, "<i8", 3)
-    table = np.frombuffer(blob, "<i8", k, 24)
     at = 24 + 8 * k
     digests = _thick(blob, n, at) if kind == _PLAIN else np.frombuffer(blob, "<u8", n, at)
     checks = np.frombuffer(blob, "<u2", n, at + 8 * n) if kind == _CHECKED else None
-    local = np.frombuffer(blob, "<u2", n, at + (6 if kind == _PLAIN else 10) * n).astype(np.int64)
-    many = local == _MANY
-    return digests, np.where(many, 0, np.append(table, 0)[np.where(many, k, local)]), many, checks
+    local = np.frombuffer(blob, "<u2", n, at + (6 if kind == _PLAIN else 10) * n)
+    return digests, _Owners(np.frombuffer(blob, "<i8", k, 24), local), _Many(local), checks
 
 
-def _ask(table: pa.Table) -> pa.Table:
-    """All entries of one bucket -> per pack the digests that stand in more than one document; what a pack notes for itself is passed on."""
-    packs, blobs = table.column("pack").to_pylist(), [b.as_py() for b in table.column("blob")]
+def _several(digests: np.ndarray, checks: np.ndarray | None, owners: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Whether each digest stands in more than one document."""
+    order = np.argsort(digests, kind="stable") if checks is None else np.lexsort((checks, digests))
+    ordered = digests[order]
+    new = ordered[1:] != ordered[:-1]
+    if checks is not None:
+        new |= checks[order][1:] != checks[order][:-1]
+    at = np.flatnonzero(np.concatenate([[True], new]))
+    low = np.minimum.reduceat(np.where(many, np.iinfo(np.int64).max, owners)[order], at)
+    high = np.maximum.reduceat(np.where(many, np.iinfo(np.int64).min, owners)[order], at)
+    flag = np.empty(len(digests), bool)
+    flag[order] = np.repeat(np.logical_or.reduceat(many[order], at) | (low < high), np.diff(np.append(at, len(digests))))
+    return flag
+
+
+def answers(table: pa.Table, together: int) -> pa.Table:
+    """All entries of one bucket -> per pack the digests that stand in more than one document; what a pack notes for itself is passed on.
+
+    The entries stay packed but for one range of digests at a time, of about so many together."""
+    packs, blobs = table.column("pack").to_pylist(), [memoryview(b.as_buffer()) for b in table.column("blob")]
     kinds = [int(np.frombuffer(b, "<i8", 1)[0]) for b in blobs]
-    found = [(k, b) for k, b, kind in zip(packs, blobs, kinds) if kind == _ALIVE]
+    found = [(k, bytes(b)) for k, b, kind in zip(packs, blobs, kinds) if kind == _ALIVE]
     for kind in (_PLAIN, _CHECKED):
-        own = [k for k, x in zip(packs, kinds) if x == kind]
-        parts = [_unpack(b) for b, x in zip(blobs, kinds) if x == kind]
-        if not parts:
+        parts = [(k, *_unpack(b)) for k, b, x in zip(packs, blobs, kinds) if x == kind]
+        total = sum(len(p[1]) for p in parts)
+        if not total:
             continue
-        sizes = [len(p[0]) for p in parts]
-        digests, owners, many = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        checks = np.concatenate([p[3] for p in parts]) if kind == _CHECKED else None
-        order = np.argsort(digests, kind="stable") if checks is None else np.lexsort((checks, digests))
-        ordered = digests[order]
-        new = ordered[1:] != ordered[:-1]
-        if checks is not None:
-            new |= checks[order][1:] != checks[order][:-1]
-        at = np.flatnonzero(np.concatenate([[True], new]))
-        single = np.where(many, np.iinfo(np.int64).min, owners)[order]
-        low = np.minimum.reduceat(np.where(many, np.iinfo(np.int64).max, owners)[order], at)
-        high, any_many = np.maximum.reduceat(single, at), np.logical_or.reduceat(many[order], at)
-        flag = np.empty(len(digests), bool)
-        flag[order] = np.repeat(any_many | (low < high), np.diff(np.append(at, len(digests))))
-        edges = np.concatenate([[0], np.cumsum(sizes)])
-        for k, low, high in zip(own, edges, edges[1:]):
-            if n := int(flag[low:high].sum()):
-                told = digests[low:high][flag[low:high]]
-                body = _thin(told) if checks is None else told.astype("<u8").tobytes() + checks[low:high][flag[low:high]].astype("<u2").tobytes()
-                found.append((k, np.array([kind, n], "<i8").tobytes() + body))
+        low, high = min(int(p[1][0]) for p in parts), max(int(p[1][-1]) for p in parts)
+        ranges = -(-total // together)
+        steps = np.array([low + (high + 1 - low) * k // ranges for k in range(1, ranges)], np.uint64)  # digests are spread evenly
+        edges = [np.concatenate([[0], np.searchsorted(p[1], steps), [len(p[1])]]).astype(np.int64) for p in parts]
+        told: list[list[tuple]] = [[] for _ in parts]
+        for k in range(ranges):
+            cuts = [slice(e[k], e[k + 1]) for e in edges]
+            digests, owners, many = (np.concatenate([p[i][c] for p, c in zip(parts, cuts)]) for i in (1, 2, 3))
+            if not len(digests):
+                continue
+            checks = np.concatenate([p[4][c] for p, c in zip(parts, cuts)]) if kind == _CHECKED else None
+            flag, at = _several(digests, checks, owners, many), 0
+            for own, c in zip(told, cuts):
+                part = slice(at, at + c.stop - c.start)
+                at = part.stop
+                if flag[part].any():
+                    own.append((digests[part][flag[part]], None if checks is None else checks[part][flag[part]]))
+        for (pack, *_), own in zip(parts, told):
+            if own:
+                digests = np.concatenate([d for d, _ in own])
+                body = _thin(digests) if kind == _PLAIN else digests.astype("<u8").tobytes() + np.concatenate([c for _, c in own]).astype("<u2").tobytes()
+                found.append((pack, np.array([kind, len(digests)], "<i8").tobytes() + body))
     return pa.table({"pack": pa.array([k for k, _ in found], pa.int64()), "blob": pa.array([d for _, d in found], pa.binary())})
 
 
+def _ask(table: pa.Table) -> pa.Table:
+    return answers(table, TOGETHER)
+
+
 def _worth(pack: int, step: int, mark: int, texts: np.ndarray, buckets: int) -> tuple:
     """A pack's note to itself, by way of any bucket: the texts of the blob that later steps need."""
     bucket = int(_mix(np.array([pack], np.int64).view(np.uint64))[0] % _U(buckets))

@@ -94,6 +94,20 @@ def test_equal_digests_with_other_checks_are_told_apart():
         assert known.both((u8(5, 5, 6, 6), u2(1, 2, 3, 4))).tolist() == [False, True, False, False]
 
 
+def test_a_bucket_is_asked_in_ranges():
+    rng, rows = np.random.default_rng(5), []
+    pool = rng.integers(0, 2**63, 900).astype(np.uint64)
+    for pack in range(6):
+        docs = rng.integers(0, 4, 400)
+        for checks in (None, rng.integers(0, 3, 400).astype(np.uint16)):
+            digests = rng.choice(pool, 400) & (spans._PART if checks is None else ~np.uint64(0))
+            rows += spans._entries(pack, digests, docs, np.arange(4) + 10 * pack, None, 1, checks)
+    rows.append(spans._worth(3, 2, 77, np.array([1, 5]), 1))
+    table = pa.table({"pack": [r[1] for r in rows], "blob": [r[2] for r in rows]})
+    told = [sorted(zip(*(spans.answers(table, n).column(c).to_pylist() for c in ("pack", "blob")))) for n in (10**6, 100, 7)]
+    assert told[0] == told[1] == told[2] and len(told[0]) == 13
+
+
 def test_any_span_holds_a_whole_chunk():
     rng = random.Random(9)
     core = "".join(rng.choice("abcdefghij ") for _ in range(250))
