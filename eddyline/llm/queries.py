@@ -49,19 +49,19 @@ def p3_bound(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_distinct_users(spark: SparkSession, d: str) -> DataFrame:
-    """Per day, region and both, with totals. Orders without time are left out of all of them, the totals included."""
-    orders = tables(spark, d, "order_messages").where("order_time is not null")
+    """Per day, region and both, with totals. Orders without time belong to no day but count in the totals over all days: their partial result is that of a null day, which has no row."""
+    orders = tables(spark, d, "order_messages")
     partial = distinct.bitmaps(orders, norm_id("user_id"), F.date_format("order_time", "yyyy-MM-dd").alias("order_day"), norm_id("region").alias("region"))
-    merged = distinct.combinations(partial, "order_day", "region")
+    merged = distinct.combinations(partial, "order_day", "region").where("order_day is not null or order_day_total")
     return distinct.estimate(merged, "order_day", "region", "order_day_total", "region_total")
 
 
 def p6_bound(spark: SparkSession, d: str) -> DataFrame:
     """Per group of p6_distinct_users the exact number, and whether the estimate lies within its error bound of it."""
-    orders = tables(spark, d, "order_messages").where("order_time is not null").select(norm_id("user_id").alias("who"), F.date_format("order_time", "yyyy-MM-dd").alias("day"), norm_id("region").alias("place"))
+    orders = tables(spark, d, "order_messages").select(norm_id("user_id").alias("who"), F.date_format("order_time", "yyyy-MM-dd").alias("day"), norm_id("region").alias("place"))
     once = orders.where("who is not null").distinct()
     totals = F.grouping("day").cast("boolean").alias("day_total"), F.grouping("place").cast("boolean").alias("place_total")
-    exact = once.cube("day", "place").agg(F.count_distinct("who").alias("n_exact"), *totals)
+    exact = once.cube("day", "place").agg(F.count_distinct("who").alias("n_exact"), *totals).where("day is not null or day_total")
     found = p6_distinct_users(spark, d)
     same = [exact[a].eqNullSafe(found[b]) for a, b in (("day", "order_day"), ("place", "region"), ("day_total", "order_day_total"), ("place_total", "region_total"))]
     rows = exact.join(found, reduce(lambda a, b: a & b, same), "full")
@@ -142,7 +142,7 @@ def p10_shared_part(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_percentiles, p3_bound, p6_distinct_users, p6_bound, p8_containers, p8_checks, p9_mix, p9_shares, p9_checks, p10_found, p10_shared_part)}
 _P6_HASHED = """select strftime(order_time at time zone 'UTC', '%Y-%m-%d') as order_day, nullif(lower(trim(region)), '') as region, ('0x' || substr(md5(nullif(lower(trim(user_id)), '')), 1, 15))::bigint as h
-from order_messages where order_time is not null and nullif(lower(trim(user_id)), '') is not null"""
+from order_messages where nullif(lower(trim(user_id)), '') is not null"""
 _P10_RUNS = """with t as (select doc_id, text from documents where doc_id is not null and length(text) >= 250),
 g as (select doc_id, p, hash(substr(text, p + 1, 250)) as h from (select doc_id, text, unnest(range(0, length(text) - 249)) as p from t)),
 x as (select distinct doc_id, p from g semi join (select h from g group by h having min(doc_id) <> max(doc_id)) using (h)),
@@ -155,8 +155,8 @@ ORACLES = {
   (select *, row_number() over (partition by nullif(lower(trim(order_id)), '') order by msg_offset) as rn from order_messages)
   where (rn = 1 or nullif(lower(trim(order_id)), '') is null) and order_time is not null and amount is not null and not isnan(amount))
 select region, day as order_day, count(*) as n_amounts, true as all_counted, true as p50_within, true as p90_within, true as p95_within, true as p99_within from o group by grouping sets ((region, day), (region))""",
-    "p6_bound": """with o as (select strftime(order_time at time zone 'UTC', '%Y-%m-%d') as order_day, nullif(lower(trim(region)), '') as region, nullif(lower(trim(user_id)), '') as who from order_messages where order_time is not null)
-select order_day, region, grouping(order_day) = 1 as order_day_total, grouping(region) = 1 as region_total, count(distinct who) as n_exact, true as within_bound from o where who is not null group by cube (order_day, region)""",
+    "p6_bound": """with o as (select strftime(order_time at time zone 'UTC', '%Y-%m-%d') as order_day, nullif(lower(trim(region)), '') as region, nullif(lower(trim(user_id)), '') as who from order_messages)
+select order_day, region, grouping(order_day) = 1 as order_day_total, grouping(region) = 1 as region_total, count(distinct who) as n_exact, true as within_bound from o where who is not null group by cube (order_day, region) having order_day is not null or grouping(order_day) = 1""",
     "p8_checks": "select count(*) as n_texts, 0::bigint as n_not_whole, 0::bigint as n_repeated, 0::bigint as n_split_though_fitting, 0::bigint as n_over_capacity, true as few_containers from documents where text <> ''",
     "p9_checks": """select t.source, t.target_share, t.max_repeats, (select count(*) from documents d where d.source = t.source and d.text <> '' and d.doc_id is not null) as n_available,
 true as cap_kept, true as epochs_first, true as near_budget from mix_targets t""",
@@ -168,7 +168,7 @@ from documents d left join c on d.doc_id = c.doc_id where length(text) > 0""",
     # the same estimate from the distinct places of each level
     "p6_distinct_users": f"""with p as (select *, case when h >> 16 = 0 then {distinct.LEVELS - 1} else {distinct.LEVELS} - length(bin(h >> 16)) end as level, h & {distinct.BITS - 1} as place from ({_P6_HASHED})),
 z as (select order_day, region, grouping(order_day) = 1 as order_day_total, grouping(region) = 1 as region_total, level, count(distinct place) as z from p
-  group by grouping sets ((order_day, region, level), (order_day, level), (region, level), (level))),
+  group by grouping sets ((order_day, region, level), (order_day, level), (region, level), (level)) having order_day is not null or grouping(order_day) = 1),
 b as (select order_day, region, order_day_total, region_total, coalesce(max(case when z > {distinct.SATURATED * distinct.BITS} then level end) + 1, 0) as base from z group by all)
 select b.order_day, b.region, b.order_day_total, b.region_total, cast(round(pow(2.0, any_value(base)) * sum(case when level >= base then {distinct.BITS} * ln({distinct.BITS} / greatest(0.5, {distinct.BITS} - z)) else 0 end)) as bigint) as n_distinct,
 {distinct.ERROR_BOUND}::double as error_bound from z join b on z.order_day is not distinct from b.order_day and z.region is not distinct from b.region and z.order_day_total = b.order_day_total and z.region_total = b.region_total group by 1, 2, 3, 4"""
