@@ -229,13 +229,17 @@ def sketches(df: DataFrame, value: Column, *groups: Column, weight: Column | Non
 
 def _merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     def total(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) == 1:
+            return frame[[*keys, "sketch"]]
         whole = Summary()
         for blob in frame["sketch"]:
             whole.merge(blob)
         return pd.DataFrame([[*frame.iloc[0][keys], whole.pack()]], columns=[*keys, "sketch"])
 
     types = dict(parts.dtypes)
-    spread = parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)  # small rows, much work: not to be coalesced
+    spark = parts.sparkSession
+    several = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    spread = parts.repartition(several, *keys)  # small rows, much work: not to be coalesced, nor cut finer than there are cores
     return spread.groupBy(*keys).applyInPandas(total, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", sketch binary")
 
 
