@@ -6,6 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+import skewed  # noqa: E402
 from eddyline.session import checkpoint_dir, local_session, ship  # noqa: E402
 
 
@@ -28,6 +29,11 @@ def empty_tables(spark, tmp_path_factory):
     return str(folder)
 
 
+@pytest.fixture(scope="session")
+def skewed_tables(tmp_path_factory):
+    return skewed.write("/root/testdata/sf0.001", tmp_path_factory.mktemp("skewed"))
+
+
 def at(text: str, day: str = "2024-01-01") -> dt.datetime:
     """A UTC time of the day, as 10:05 or 10:05:30."""
     return dt.datetime.fromisoformat(f"{day}T{text if text.count(':') == 2 else text + ':00'}").replace(tzinfo=dt.UTC)

@@ -36,3 +36,10 @@ ROWS_OF_NOTHING = {"global_aggregate": 1, "watermark_min_of_sources": 1, "monoto
 def test_empty_tables(spark, empty_tables, module):
     found = {name: query(spark, empty_tables).count() for name, query in module.QUERIES.items()}
     assert {name: n for name, n in found.items() if n} == {name: n for name, n in ROWS_OF_NOTHING.items() if name in module.QUERIES}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in general.ORACLES))
+def test_skewed_tables(spark, skewed_tables, name):
+    con = duckdb.connect()
+    verify.register(con, skewed_tables)
+    assert verify.compare(general.QUERIES[name](spark, skewed_tables).toPandas(), con.sql(general.ORACLES[name]).df()) == ""
