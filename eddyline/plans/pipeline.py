@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from eddyline.operators import partitioning
 from eddyline.operators.hop import hop, snap
 from eddyline.plans import sql as S
 from eddyline.schema import Schema
@@ -89,6 +90,8 @@ class Pipeline:
         """A user-defined function for the SQL of views and outputs, by a name: what pandas_udf gives, per row (Series to Series) or as an aggregate (Series to a value), or udf."""
         self.functions[name] = made
 
+    # partition_by: rows with equal keys are placed together; an empty list means that every partition needs the whole table, which is broadcast if its size is known to be small
+
     def source(self, name: str, *, schema: type[Schema] | None = None, partition_by: list[str] | None = None, ts_col: str | None = None) -> Source:
         self.sources[name] = Source(name, schema, partition_by, ts_col)
         return self.sources[name]
@@ -215,6 +218,8 @@ class _Expansion:
                 keys = source.partition_by
             else:
                 df, keys = self.spark.table(name), None
+            if keys is not None and not keys and not df.isStreaming:  # no key at all: every partition needs the whole table
+                df = partitioning.broadcast(df)
             self.made[name] = df.repartition(*keys) if keys else df
         return self.made[name]
 

@@ -238,9 +238,12 @@ def key_placement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def broadcast_join(spark: SparkSession, d: str) -> DataFrame:
-    """A join whose small side is broadcast only because its size is known."""
-    small = partitioning.broadcast(tables(spark, d, "nation"))
-    return tables(spark, d, "customer").join(small, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
+    """A join with a source that every partition needs, broadcast only because its size is known."""
+    app = Pipeline()
+    app.source("customer", partition_by=["c_nationkey"])
+    app.source("nation", partition_by=[])
+    app.output("out", "SELECT n_name, COUNT(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name").trigger(records=1)
+    return app.dataframe(spark, "out", {t: tables(spark, d, t) for t in ("customer", "nation")})
 
 
 def salted_aggregate(spark: SparkSession, d: str) -> DataFrame:

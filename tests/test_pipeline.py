@@ -476,3 +476,14 @@ def test_windows_are_computed_once(spark, tmp_path):
     sink = FakeSink()
     Runtime(spark, app, {"events": rows}, {"out": sink}).execute_bounded(at("10:00"), at("10:20"))
     assert [b[0]["cnt"] for b in sink.batches] == [2, 2] and seen.value <= 2 * len(B1)
+
+
+def test_sources_without_keys_are_broadcast(spark, tmp_path):
+    frame(spark, Event, B1[:1]).write.parquet(str(tmp_path / "small"))
+    app = Pipeline()
+    app.source("events", schema=Event, ts_col="event_time", partition_by=["user_id"])
+    app.source("small", schema=Event, ts_col="event_time", partition_by=[])
+    app.output("o", "SELECT e.id FROM events e JOIN small s ON e.user_id = s.user_id").trigger(records=1)
+    df = app.dataframe(spark, "o", {"events": frame(spark, Event, B1), "small": spark.read.parquet(str(tmp_path / "small"))})
+    assert "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString() and "RepartitionByExpression" in df._jdf.queryExecution().analyzed().toString()
+    assert sorted(r["id"] for r in df.collect()) == [1, 3, 5]
