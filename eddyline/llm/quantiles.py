@@ -28,7 +28,7 @@ EPSILON = 0.01
 _LISTED = 4096  # different codes that are listed before they become counters
 _BUFFERED = 16_384  # codes that wait to be counted together
 _TOGETHER = 128  # partitions whose partial results meet in a first step
-_HELD = 128  # groups in memory before partial results are given out
+_HELD = 8_000_000  # numbers in memory before partial results are given out
 
 
 _INFINITY = 0x7FF0 << 48
@@ -98,6 +98,10 @@ class Summary:
         if self.n > _BUFFERED:
             self.settle()
 
+    def load(self) -> int:
+        """How many numbers it holds, itself as 64."""
+        return 64 + 2 * self.n + (0 if self.counters is None else SIZE)
+
     def listed(self) -> tuple[np.ndarray, np.ndarray]:
         """The codes that are not in the counters, each once in rising order, and their weights."""
         codes, weights = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.codes, self.weights))
@@ -215,10 +219,10 @@ def sketches(df: DataFrame, value: Column, *groups: Column, weight: Column | Non
             for low, high in zip(starts, np.append(starts[1:], len(order))):
                 key = tuple(batch.column(n)[int(order[low])].as_py() for n in names)
                 if key not in held:
-                    if len(held) >= _HELD:
-                        yield give()
                     held[key] = Summary()
                 held[key].add(codes[low:high], weights[low:high])
+            if sum(s.load() for s in held.values()) > _HELD:
+                yield give()
         if held:
             yield give()
 
